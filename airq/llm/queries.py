@@ -7,19 +7,28 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing
 from .common import read_table
 from .packing import pack_documents
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: the words that a mix of 150 % takes of each, sources weighing 3, 1, 2 in turn."""
+    return mixing.copies(read_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, cut into pieces of at most 2048 ids and packed."""
     return pack_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"), TOKENIZER)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_mixing": mixing.ORACLE,
+}
