@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import fingerprint, mixing
 from .common import read_table
 from .packing import pack_documents
 
@@ -19,6 +19,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(read_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents and their edited texts: fingerprints of 16 samples and their likenesses."""
+    return fingerprint.fingerprints(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, cut into pieces of at most 2048 ids and packed."""
     return pack_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"), TOKENIZER)
@@ -26,6 +31,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op5_fingerprints": op5_fingerprints,
     "op10_packing": op10_packing,
 }
 
