@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, mixing
+from . import fingerprint, mixing, ngram_join
 from .common import read_table
 from .packing import pack_documents
 
@@ -24,6 +24,11 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: the components of those with a Jaccard similarity of 0.8 or more on five-word shingles."""
+    return ngram_join.components(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, cut into pieces of at most 2048 ids and packed."""
     return pack_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"), TOKENIZER)
@@ -32,6 +37,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op5_fingerprints": op5_fingerprints,
+    "op9_ngram_join": op9_ngram_join,
     "op10_packing": op10_packing,
 }
 
