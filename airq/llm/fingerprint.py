@@ -76,11 +76,14 @@ def fingerprints(docs: DataFrame, count: int = SAMPLES) -> DataFrame:
     before = order.select(F.col("next_id").alias("id"), F.col("first_hash").alias("hash_before"), F.col("id").alias("id_before"), F.expr("longest div 2").alias("wanted"))
     places = order.select("id", "first_hash", "next_id").join(before, "id").select("id", "first_hash", "next_id", "id_before", "wanted")
 
-    whole = base.repartition("id").dropDuplicates(["id", "hash"])
-    heads = whole.join(places, "id").where("hash = first_hash").select(F.col("id_before").alias("id"), F.expr("left(text, int(wanted))").alias("head"))
+    whole = base
+    if not rows.where("rows > 1").isEmpty():  # costs one more shuffle of the texts, so only where rows do repeat
+        whole = base.dropDuplicates(["id", "hash"])
+    # joined by id alone, so that the texts' one shuffle by id serves here and below
+    heads = whole.join(places.hint("shuffle_hash"), "id").where("(hash ^ first_hash) = 0").select(F.col("id_before").alias("id"), F.expr("left(text, int(wanted))").alias("head"))
     n, half = F.char_length("text"), F.expr("char_length(text) div 2").cast("int")
     edited = F.concat(F.expr("left(text, char_length(text) - int(char_length(text) div 2))"), F.expr("left(head, int(char_length(text) div 2))"))
-    both = whole.join(heads, "id").select("id", "hash", "text", edited.alias("edited"))
+    both = whole.join(heads.hint("shuffle_hash"), "id").select("id", "hash", "text", edited.alias("edited"))
     digests = both.select("id", "hash", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
 
     variants = both.select("id", "hash", F.expr("stack(2, 0, text, 1, edited) AS (variant, text)"))
