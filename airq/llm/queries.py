@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, mixing, ngram_join
+from . import embed_neardup, fingerprint, langid, mixing, ngram_join
 from .common import read_table
 from .packing import pack_documents
 
@@ -19,6 +19,17 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(read_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def op2_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings: links of cosine 0.93 or more within a label, found by shared pivots, and their components."""
+    return embed_neardup.near_duplicates(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: the language predicted from the whole text."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return langid.identify(docs, langid.train(docs))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents and their edited texts: fingerprints of 16 samples and their likenesses."""
     return fingerprint.fingerprints(read_table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -36,6 +47,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_embedding_neardup": op2_embedding_neardup,
+    "op4_language_id": op4_language_id,
     "op5_fingerprints": op5_fingerprints,
     "op9_ngram_join": op9_ngram_join,
     "op10_packing": op10_packing,
