@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_neardup, fingerprint, langid, mixing, ngram_join
+from . import embed_neardup, fingerprint, html_extract, langid, mixing, ngram_join
 from .common import read_table
 from .packing import pack_documents
 
@@ -24,6 +24,11 @@ def op2_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_neardup.near_duplicates(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages: the main text of the whole html."""
+    return html_extract.extract(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: the language predicted from the whole text."""
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
@@ -48,6 +53,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_embedding_neardup": op2_embedding_neardup,
+    "op3_html_extraction": op3_html_extraction,
     "op4_language_id": op4_language_id,
     "op5_fingerprints": op5_fingerprints,
     "op9_ngram_join": op9_ngram_join,
