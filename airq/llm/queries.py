@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_neardup, fingerprint, html_extract, langid, mixing, ngram_join
+from . import embed_neardup, fingerprint, html_extract, langid, mixing, ngram_join, toxicity
 from .common import read_table
 from .packing import pack_documents
 
@@ -40,6 +40,12 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: the toxicity of the whole text."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels", "doc_id", "toxic")))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: the components of those with a Jaccard similarity of 0.8 or more on five-word shingles."""
     return ngram_join.components(read_table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -56,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_extraction": op3_html_extraction,
     "op4_language_id": op4_language_id,
     "op5_fingerprints": op5_fingerprints,
+    "op6_toxicity": op6_toxicity,
     "op9_ngram_join": op9_ngram_join,
     "op10_packing": op10_packing,
 }
