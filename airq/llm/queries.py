@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_neardup, fingerprint, html_extract, langid, mixing, ngram_join, toxicity
+from . import embed_neardup, fingerprint, html_extract, langid, mixing, ngram_join, pii_crf, toxicity
 from .common import read_table
 from .packing import pack_documents
 
@@ -46,6 +46,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels", "doc_id", "toxic")))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: the personal data in the whole text."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return pii_crf.find(docs, pii_crf.train(docs))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: the components of those with a Jaccard similarity of 0.8 or more on five-word shingles."""
     return ngram_join.components(read_table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_fingerprints": op5_fingerprints,
     "op6_toxicity": op6_toxicity,
+    "op8_pii": op8_pii,
     "op9_ngram_join": op9_ngram_join,
     "op10_packing": op10_packing,
 }
