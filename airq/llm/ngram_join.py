@@ -3,13 +3,13 @@
 1. Every text becomes its set of hashed shingles; equal sets are one set from here on. Shingles that only one
    set has are counted but not carried: of a set that can have a partner, at least 80 % are held by others too.
 2. Such sets are dealt into groups of similar ones: sets with a minimum hash in common are compared with the
-   smallest of them, and those linked, directly or by way of others, form a group.
-3. The matrix of tokens and groups: each group (split where its sets hold many tokens) keeps the union of its
-   tokens. By the prefix rule, a partner in another group shares one of a set's rarest tokens; for each group
-   found so, the overlap of the set with the group's union bounds its overlap with every member, and only where
-   the bound reaches what the threshold asks is the group opened and its members compared.
+   one of them whose tokens most sets hold, and those linked, directly or by way of others, form a group.
+3. The matrix of tokens and parts: sets of one minimum hash, cut where they hold many tokens, are a part, which
+   keeps the union of its tokens. By the prefix rule, partners share one of their rarest tokens; for each part
+   found so that holds sets of another group, the overlap of a set with the part's union bounds its overlap with
+   every member, and only where the bound reaches what the threshold asks is the part opened and those compared.
 
-Sets within one group are connected already, so no pairs are made there; between groups no pair is lost.
+Sets within one group are connected already, so no pairs are made there; between groups no link is lost.
 
 Null and empty texts have no shingles and link with nothing; repeated rows are equal sets; a null id can belong
 to a component but never names it unless no other can. An empty table gives no rows.
@@ -32,7 +32,7 @@ PERCENT = 80
 #: A shingle that more sets of one batch of rows have is summed up there before it is shuffled.
 HOT = 256
 #: Tokens of a group's part, about.
-GROUP_TOKENS = 4_000
+GROUP_TOKENS = 8_000
 #: Minimum hashes by which sets are brought together.
 ROUNDS = 4
 
@@ -125,34 +125,41 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _groups(sets: DataFrame, percent: int) -> DataFrame:
-    """Verified links ``(a, b)`` that gather similar sets: each set with the smallest one of the same minimum hash."""
-    rounds = F.posexplode(F.array(*[F.array_min(F.transform("tokens", lambda t, k=k: F.xxhash64(t, F.lit(k)))) for k in range(ROUNDS)])).alias("round", "key")
-    keys = materialise(sets.select("id", rounds), "keys")
-    leaders = keys.groupBy("round", "key").agg(F.min("id").alias("b"), F.count("*").alias("many")).where("many > 1").drop("many")
+    """Verified links ``(a, b)`` that gather similar sets: each set with the most central one of the same minimum hash."""
+    rounds = F.posexplode(F.expr(f"transform(sequence(0, {ROUNDS - 1}), k -> array_min(transform(tokens, t -> xxhash64(t, k))))")).alias("round", "key")
+    keys = materialise(sets.select("id", "central", rounds), "keys")
+    leaders = keys.groupBy("round", "key").agg(F.max(F.struct("central", "id"))["id"].alias("b"), F.count("*").alias("many")).where("many > 1").drop("many")
     pairs = keys.join(leaders, ["round", "key"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
     return materialise(_linked(pairs, sets, percent), "gathered")
 
 
-def _across(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Links ``(a, b)`` between sets of different groups, found by way of the token-group matrix."""
-    placed = sets.join(groups.withColumnRenamed("v", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    held = placed.groupBy("component").agg(F.ceil(F.sum(F.size("tokens")) / GROUP_TOKENS).alias("parts"))
-    placed = placed.join(held, "component").withColumn("part", F.xxhash64("component", F.pmod(F.xxhash64("id"), F.col("parts"))))
+def _across(sets: DataFrame, gathered: DataFrame, percent: int) -> DataFrame:
+    """Links ``(a, b)`` between components of the sets gathered so far, found by way of the token-group matrix."""
+    placed = sets.join(connected_components(gathered).withColumnRenamed("v", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = placed.withColumn("alike", F.expr("array_min(transform(tokens, t -> xxhash64(t, 0)))"))
+    held = placed.groupBy("alike").agg(F.ceil(F.sum(F.size("tokens")) / GROUP_TOKENS).alias("parts"))
+    placed = placed.join(held, "alike").withColumn("part", F.xxhash64("alike", F.pmod(F.xxhash64("id"), F.col("parts"))))
     placed = materialise(placed.select("id", "n", "tokens", "component", "part"), "placed")
 
-    rarest = F.expr(f"slice(tokens, 1, int(size(tokens) - ({percent} * n + 99) div 100 + 1))")
-    prefixes = placed.select("id", "component", "part", F.explode(rarest).alias("token"))
+    # of two partners the larger has a common token among its 20 % rarest, the smaller among its 11 % rarest
+    own = f"n - ({percent} * n + 99) div 100 + 1"
+    short = f"n - ({2 * percent} * n + {99 + percent}) div {100 + percent} + 1"
+    prefixes = placed.select("id", "n", "component", "part", F.posexplode(F.expr(f"slice(tokens, 1, int(size(tokens) - n + {own}))")).alias("place", "token"), (F.expr(f"size(tokens) - n + {short}")).alias("short"))
     several = prefixes.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
     prefixes = materialise(prefixes.join(several, "token"), "prefixes")
-    index = prefixes.select("token", "part", F.col("component").alias("other")).distinct()
-    found = prefixes.select("token", "id", "component").join(index, "token").where("component <> other").select("id", "part").distinct()
+    index = prefixes.where("place < short").groupBy("token", "part").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
+    queries = prefixes.select("token", "id", "component", "n")
+    met = queries.join(index, "token").where(f"(low <> component OR high <> component) AND least <= n AND 100 * most >= {percent} * n")
+    found = materialise(met.select("id", F.col("part").alias("other")).distinct(), "found")
 
-    unions = placed.groupBy("part").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"))
-    queries = found.join(placed.select("id", "n", "tokens"), "id").join(unions, "part")
-    opened = queries.where(f"size(array_intersect(tokens, union)) >= ({percent} * n + 99) div 100").select(F.col("id").alias("a"), "part")
-    members = placed.select("part", F.col("id").alias("b"))
-    pairs = opened.join(members, "part").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return _linked(pairs, sets, percent)
+    parts = placed.groupBy(F.col("part").alias("other")).agg(F.collect_list(F.struct("component", "n", "tokens")).alias("members"))
+    parts = parts.withColumn("union", F.array_distinct(F.flatten("members.tokens")))
+    opened = found.join(placed.select("id", "n", "tokens", "component"), "id").join(parts, "other")
+    opened = opened.where(f"size(array_intersect(tokens, union)) >= ({percent} * n + 99) div 100")
+    similar = f"""filter(members, m -> m.component <> component AND 100 * least(n, m.n) >= {percent} * greatest(n, m.n)
+        AND (100 + {percent}) * size(array_intersect(tokens, m.tokens)) >= {percent} * (n + m.n))"""
+    linked = opened.select(F.col("component").alias("a"), F.expr(f"array_distinct(transform({similar}, m -> m.component))").alias("b")).where("size(b) > 0")
+    return linked.select("a", F.explode("b").alias("b"))
 
 
 def components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -167,11 +174,12 @@ def components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> D
     pairs = join_small(rows.where(F.col("kind").isin(PAIR, HOT_PAIR)).select("id", "token", "n"), hot, ["token"], "left")
     ordered = F.transform(F.array_sort(F.collect_set(F.struct(F.coalesce("hot", "n").alias("held"), "token"))), lambda x: x["token"])
     sizes = documents.groupBy("id").agg(F.max("n").alias("n"))
-    sets = pairs.groupBy("id").agg(ordered.alias("tokens")).join(sizes, "id").where(f"100 * size(tokens) >= {percent} * n")
-    sets = materialise(sets.select("id", "n", "tokens"), "sets")
+    central = F.sum(F.log(F.coalesce("hot", "n")))
+    sets = pairs.groupBy("id").agg(ordered.alias("tokens"), central.alias("central")).join(sizes, "id").where(f"100 * size(tokens) >= {percent} * n")
+    sets = materialise(sets.select("id", "n", (F.col("central") / F.col("n")).alias("central"), "tokens"), "sets")
 
     gathered = _groups(sets, percent)
-    across = materialise(_across(sets, connected_components(gathered), percent), "across")
+    across = materialise(_across(sets, gathered, percent), "across")
     found = connected_components(gathered.union(across))
 
     least = documents.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("least"))
