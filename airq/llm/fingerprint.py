@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import materialise, partitions
 
 SAMPLES = 16
+#: Partitions of texts for each of the session's shuffle partitions.
+SPREAD = 4
 #: Stands for a null id; smaller than all others.
 NO_ID = -(1 << 63)
 _UNIT = f"{2.0**-21!r}D"
@@ -76,9 +78,10 @@ def fingerprints(docs: DataFrame, count: int = SAMPLES) -> DataFrame:
     before = order.select(F.col("next_id").alias("id"), F.col("first_hash").alias("hash_before"), F.col("id").alias("id_before"), F.expr("longest div 2").alias("wanted"))
     places = order.select("id", "first_hash", "next_id").join(before, "id").select("id", "first_hash", "next_id", "id_before", "wanted")
 
-    whole = base
+    # a text's pairs take far more room than the text, so smaller partitions than usual keep them in memory
+    whole = base.repartition(SPREAD * partitions(base.sparkSession), "id")
     if not rows.where("rows > 1").isEmpty():  # costs one more shuffle of the texts, so only where rows do repeat
-        whole = base.dropDuplicates(["id", "hash"])
+        whole = whole.dropDuplicates(["id", "hash"])
     # joined by id alone, so that the texts' one shuffle by id serves here and below
     heads = whole.join(places.hint("shuffle_hash"), "id").where("(hash ^ first_hash) = 0").select(F.col("id_before").alias("id"), F.expr("left(text, int(wanted))").alias("head"))
     n, half = F.char_length("text"), F.expr("char_length(text) div 2").cast("int")
