@@ -16,15 +16,15 @@ def _line(value: Column, band: tuple[float, float, int, int]) -> Column:
     return _double((i_high - i_low) / (high - low)) * (value - _double(low)) + _double(i_low)
 
 
-def _piecewise(value: Column, rows: list[tuple[float, float, int, int]], gaps: str) -> Column:
+def _place(value: Column, rows: list[tuple[float, float, int, int]], gaps: str) -> Column:
+    """The number of the first band that holds the value, else that of the top band; -k for the gap below band k."""
     out = None
     for place, band in enumerate(rows):
-        if gaps == "bridge" and place:  # a value between two bands belongs to the upper one, from its lowest index
-            between = (value > _double(rows[place - 1][1])) & (value < _double(band[0]))
-            out = out.when(between, _double(band[2]))
+        if gaps == "bridge" and place:
+            out = out.when((value > _double(rows[place - 1][1])) & (value < _double(band[0])), -place)
         inside = value.between(_double(band[0]), _double(band[1]))
-        out = F.when(inside, _line(value, band)) if out is None else out.when(inside, _line(value, band))
-    return out.otherwise(_line(value, rows[-1]))
+        out = F.when(inside, place) if out is None else out.when(inside, place)
+    return out.otherwise(len(rows) - 1)
 
 
 def sub_index(pollutant: Column, value: Column, scale: str = DEFAULT_SCALE, gaps: str = "reference", strict: bool = False) -> Column:
@@ -33,10 +33,15 @@ def sub_index(pollutant: Column, value: Column, scale: str = DEFAULT_SCALE, gaps
     Null for a null or negative value or an unknown pollutant; with ``strict`` the last two fail. With ``gaps`` 'bridge' a
     value between two bands takes the upper one's lowest index instead of the top band's line.
     """
-    raw = None
+    place, first, table = None, None, []
     for one in POLLUTANTS:
-        index = _piecewise(value, bands(scale, one), gaps)
-        raw = F.when(pollutant == one, index) if raw is None else raw.when(pollutant == one, index)
+        rows = bands(scale, one)
+        here, start = _place(value, rows, gaps), F.lit(len(table))
+        place = F.when(pollutant == one, here) if place is None else place.when(pollutant == one, here)
+        first = F.when(pollutant == one, start) if first is None else first.when(pollutant == one, start)
+        table += [F.struct(_double((j - i) / (b - a)).alias("slope"), _double(a).alias("low"), _double(i).alias("index")) for a, b, i, j in rows]
+    band = F.get(F.array(*table), first + F.abs(place))  # a constant array, so a line is looked up rather than spelled out per band
+    raw = F.when(place < 0, band["index"]).otherwise(band["slope"] * (value - band["low"]) + band["index"]) if gaps == "bridge" else band["slope"] * (value - band["low"]) + band["index"]
     known = F.least(F.lit(MAX_INDEX), F.floor(raw + F.lit(0.5))).cast("int")
     known = F.when(value >= 0, known)
     if not strict:
