@@ -43,13 +43,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join a possibly skewed ``big`` with ``small``, a materialised table with unique, non-null keys.
 
     The small side is broadcast only after its rows were counted; beyond the bound, the keys are
     salted on both sides, so that a key holding a third of ``big`` is spread over many tasks.
     """
-    if small.count() <= BROADCAST_ROWS:
+    if small.count() <= rows:
         return big.join(F.broadcast(small), on, how)
     spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_neardup, fingerprint, html_extract, langid, mixing, ngram_join, pii_crf, toxicity
+from . import embed_neardup, fingerprint, html_extract, langid, mixing, ngram_join, pii_crf, token_rollup, toxicity
 from .common import read_table
 from .packing import pack_documents
 
@@ -46,6 +46,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels", "doc_id", "toxic")))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: token totals by source, language and tokenizer version after inserts, deletes and revisions."""
+    return token_rollup.maintained(read_table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: the personal data in the whole text."""
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_fingerprints": op5_fingerprints,
     "op6_toxicity": op6_toxicity,
+    "op7_token_counts": op7_token_counts,
     "op8_pii": op8_pii,
     "op9_ngram_join": op9_ngram_join,
     "op10_packing": op10_packing,
@@ -76,4 +82,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_mixing": mixing.ORACLE,
+    "op7_token_counts": token_rollup.ORACLE,
 }
