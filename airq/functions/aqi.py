@@ -38,12 +38,14 @@ def sub_index(pollutant: Column, value: Column, scale: str = DEFAULT_SCALE, gaps
         rows = bands(scale, one)
         here, start = _place(value, rows, gaps), F.lit(len(table))
         place = F.when(pollutant == one, here) if place is None else place.when(pollutant == one, here)
-        first = F.when(pollutant == one, start) if first is None else first.when(pollutant == one, start)
+        start_here = (pollutant == one) & (value >= 0)
+        first = F.when(start_here, start) if first is None else first.when(start_here, start)
         table += [F.struct(_double((j - i) / (b - a)).alias("slope"), _double(a).alias("low"), _double(i).alias("index")) for a, b, i, j in rows]
-    band = F.get(F.array(*table), first + F.abs(place))  # a constant array, so a line is looked up rather than spelled out per band
-    raw = F.when(place < 0, band["index"]).otherwise(band["slope"] * (value - band["low"]) + band["index"]) if gaps == "bridge" else band["slope"] * (value - band["low"]) + band["index"]
-    known = F.least(F.lit(MAX_INDEX), F.floor(raw + F.lit(0.5))).cast("int")
-    known = F.when(value >= 0, known)
+    # a line is looked up in a constant array; nothing here is conditional, so the place is found once
+    band = F.get(F.array(*table), first + F.abs(place))
+    rise = band["slope"] * (value - band["low"])
+    raw = (F.when(place < 0, 0.0).otherwise(rise) if gaps == "bridge" else rise) + band["index"]
+    known = F.least(F.lit(MAX_INDEX) + first * 0, F.floor(raw + F.lit(0.5))).cast("int")
     if not strict:
         return known
     failing = value.isNotNull() & ((value < 0) | ~pollutant.isin(*POLLUTANTS))
