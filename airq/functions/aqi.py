@@ -118,7 +118,7 @@ def sub_index_by_join(df: DataFrame, scale: str = DEFAULT_SCALE) -> DataFrame:
     first = F.try_element_at(F.filter("bands", lambda b: (b["c_lo"] <= F.col("value")) & (F.col("value") <= b["c_hi"])), F.lit(1))
     held = held.withColumn("band", F.coalesce(first, "top"))
     raw = (F.col("band.i_hi") - F.col("band.i_lo")) / (F.col("band.c_hi") - F.col("band.c_lo")) * (F.col("value") - F.col("band.c_lo")) + F.col("band.i_lo")
-    index = F.when(F.col("value") >= 0, F.least(F.lit(MAX_INDEX), F.floor(raw + F.lit(0.5))).cast("int"))
+    index = F.when((F.col("value") >= 0) & F.col("band").isNotNull(), F.least(F.lit(MAX_INDEX), F.floor(raw + F.lit(0.5))).cast("int"))
     return held.withColumn("sub_index", index).drop("bands", "top", "band")
 
 

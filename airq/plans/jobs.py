@@ -39,8 +39,7 @@ def load(observations: DataFrame, root: str, user_id: str, dry_run: bool = False
     touched = new_readings.select(F.min("recorded_at").alias("low"), F.max("recorded_at").alias("high")).first()
     if touched.low is not None:
         existing = existing.where(F.col("recorded_at").between(F.lit(touched.low), F.lit(touched.high)))
-    before = existing.where("source = 'openaq'").select("monitor_id", "source", "recorded_at", "id").persist()
-    before.count()
+    before = files.settled(existing.where("source = 'openaq'").select("monitor_id", "source", "recorded_at", "id"))
     inserted = files.upsert_readings(new_readings, before, f"{root}/readings")
     linked = ingest.link_measurements(new_measurements, ingest.union_readings(inserted, before))
     old = files.scan_table(spark, root, "measurements")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -55,10 +56,20 @@ def scan_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The rows as they are now, in the folder of ``spark.checkpoint.dir`` (our own where it is unset).
+
+    A cached plan would be computed anew once a table that it reads is appended to.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="airq-checkpoint-"))
+    return df.checkpoint()
+
+
 def _append(df: DataFrame, path: str) -> DataFrame:
     """Write rows and give back those rows, however often the caller reads them."""
-    held = df.persist()
-    held.count()
+    held = settled(df)
     held.write.mode("append").parquet(path)
     return held
 
