@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import materialise, partitions
+from .common import materialise, partitions, settings
 
 SAMPLES = 16
 #: Partitions of texts for each of the session's shuffle partitions.
@@ -78,10 +78,9 @@ def fingerprints(docs: DataFrame, count: int = SAMPLES) -> DataFrame:
     before = order.select(F.col("next_id").alias("id"), F.col("first_hash").alias("hash_before"), F.col("id").alias("id_before"), F.expr("longest div 2").alias("wanted"))
     places = order.select("id", "first_hash", "next_id").join(before, "id").select("id", "first_hash", "next_id", "id_before", "wanted")
 
-    # a text's pairs take far more room than the text, so smaller partitions than usual keep them in memory
-    whole = base.repartition(SPREAD * partitions(base.sparkSession), "id")
+    whole = base
     if not rows.where("rows > 1").isEmpty():  # costs one more shuffle of the texts, so only where rows do repeat
-        whole = whole.dropDuplicates(["id", "hash"])
+        whole = base.dropDuplicates(["id", "hash"])
     # joined by id alone, so that the texts' one shuffle by id serves here and below
     heads = whole.join(places.hint("shuffle_hash"), "id").where("(hash ^ first_hash) = 0").select(F.col("id_before").alias("id"), F.expr("left(text, int(wanted))").alias("head"))
     n, half = F.char_length("text"), F.expr("char_length(text) div 2").cast("int")
@@ -96,7 +95,10 @@ def fingerprints(docs: DataFrame, count: int = SAMPLES) -> DataFrame:
     marks = F.sort_array(F.collect_list(F.struct("place", mark.alias("mark"))))
     drawn = drawn.groupBy("id", "hash", "variant").agg(F.array_join(F.transform(marks, lambda m: m["mark"]), "").alias("print"))
     drawn = drawn.groupBy("id", "hash").agg(F.max(F.when(F.col("variant") == 0, F.col("print"))).alias("fingerprint"), F.max(F.when(F.col("variant") == 1, F.col("print"))).alias("edited_fingerprint"))
-    signed = materialise(drawn.join(digests, ["id", "hash"]), "signed")
+    # a text's pairs take far more room than the text, so smaller partitions than usual keep them in memory
+    spark = docs.sparkSession
+    with settings(spark, spark__sql__shuffle__partitions=str(SPREAD * partitions(spark)), spark__sql__adaptive__coalescePartitions__enabled="false"):
+        signed = materialise(drawn.join(digests, ["id", "hash"]), "signed")
 
     following = order.select("id", "next_id", "first_hash").join(signed.select("id", F.col("hash").alias("first_hash"), F.col("fingerprint").alias("next_print")), ["id", "first_hash"])
     following = order.select("id", "next_id").join(following.select(F.col("id").alias("next_id"), "next_print"), "next_id")
