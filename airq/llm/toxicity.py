@@ -53,7 +53,7 @@ def words_of(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Automaton:
     """The lexicon's trie intersected with automata of at most one edit, as one table of states.
 
-    ``hit[state]`` is 1 + 2 * term + edits where a word may end (a beginning has matched for good), else 0.
+    ``hit[state]`` is 1 + 2 * term + edits where a word may end, else 0. A beginning has matched for good at the first letter at which it does, misspelled or not.
     """
 
     def __init__(self, terms: list[tuple[str, bool]]):
@@ -80,7 +80,8 @@ class Automaton:
         def closed(found: set[tuple[int, int]]) -> frozenset[tuple[int, int]]:
             for node, used in list(found):
                 if not used and edits[node]:
-                    found.update((child, 1) for child in children[node].values() if edits[child])
+                    # a beginning less its last letter is no misspelling of it
+                    found.update((child, 1) for child in children[node].values() if edits[child] and not any(terms[t][1] for t in ends[child]))
             return frozenset((n, u) for n, u in found if not (u and (n, 0) in found))
 
         def best(found: frozenset[tuple[int, int]], beginning: bool) -> int:
@@ -247,7 +248,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     odds = F.log((F.col("toxic") + 0.5) / float(n[1] + 1)) - F.log((F.col("other") + 0.5) / float(n[0] + 1))
     best = counts.where(F.col("toxic") >= LEAST_DOCS).where(odds >= LEAST_ODDS).orderBy(F.desc("toxic"), F.desc(F.length("term")), "term", "beginning").limit(CANDIDATES)
     model = Model(choose([(r["term"], r["beginning"], r["toxic"]) for r in best.collect()]))
-    rows = texts.collect()
+    rows = texts.collect()  # within the bound on the sample
+    if len({r["toxic"] for r in rows}) < 2:
+        return None
     model.fit([r["text"] for r in rows], np.array([r["toxic"] for r in rows]))
     return model
 
