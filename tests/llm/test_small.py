@@ -140,6 +140,17 @@ def test_html(spark):
     assert got == {k: f"p{k} text {k * 7} of page" for k in range(4)} | {10: "T & t a b cd", 11: "", 12: ""}
 
 
+def test_html_boilerplate_in_articles(spark):
+    banner = "<div class='cookieBanner'>This site stores small files to make your next visit faster</div>"
+    quote = "this line is quoted by the articles of several pages here"
+    body = {k: " ".join(f"w{k}x{n}" for n in range(40)) for k in range(4)}
+    rows = [(k, f"http://h.com/{k}", f"<article><p>{body[k]}</p>{banner}<p>{quote}</p><div class='text'>{quote} and p{k}</div></article>") for k in range(4)]
+    rows += [(k, f"http://c.com/{k}", f"<article><div class='text'><p>{body[0]}</p></div></article>") for k in (10, 11)]
+    rows += [(20, "http://o.com/", f"<article><p>{body[0]}</p>{banner}</article>")]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"{body[k]} {quote} {quote} and p{k}" for k in range(4)} | {10: body[0], 11: body[0], 20: f"{body[0]} This site stores small files to make your next visit faster"}
+
+
 def test_language(spark, none):
     rng = random.Random(5)
     say = {"aa": lambda: words(rng, 30), "bb": lambda: " ".join("".join(rng.choices("pqrstuvw", k=5)) for _ in range(30))}
