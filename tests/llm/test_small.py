@@ -151,6 +151,26 @@ def test_html_boilerplate_in_articles(spark):
     assert got == {k: f"{body[k]} {quote} {quote} and p{k}" for k in range(4)} | {10: body[0], 11: body[0], 20: f"{body[0]} This site stores small files to make your next visit faster"}
 
 
+def test_html_comments_and_raw_elements():
+    def said(html):
+        found = html_extract.blocks(html)
+        own = html_extract.article(found)
+        return html_extract._open(found) if own is None else [t for t, _ in own]
+
+    comment = "<article class='comment'>nice</article>"
+    assert said(f"<main><p>body</p></main>{comment}") == ["body"]
+    assert said(f"<div>body</div>{comment}") == ["body"]
+    assert said(f"<main><p>body</p>{comment}</main>") == ["body"]
+    assert said("<main><p>body</p></main><article>teaser</article>") == ["body"]
+    assert said(f"<main>menu<article>body{comment}</article></main>") == ["body"]
+    assert said("<article class='social post'>body</article>") == ["body"]
+    assert said("<article>a<svg viewBox='0 0'/>b<math/>c<p>d</p></article>") == ["a", "b", "c", "d"]
+    assert said("<article>a<svg><path/><p>d</p></article>") == ["a"]
+    assert said("<article>a<div><svg><g></div><p>b</p></article>") == ["a", "b"]
+    assert said("<article>a<div><script>x</div><p>b</p></article>") == ["a", "b"]
+    assert said("<article>a<svg><svg></svg>x</svg><p>b</p></article>") == ["a", "b"]
+
+
 def test_language(spark, none):
     rng = random.Random(5)
     say = {"aa": lambda: words(rng, 30), "bb": lambda: " ".join("".join(rng.choices("pqrstuvw", k=5)) for _ in range(30))}
