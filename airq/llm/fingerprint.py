@@ -1,10 +1,14 @@
 """Document fingerprints by consistent weighted sampling; DataFrame functions only.
 
 A text's terms are its pairs of neighbouring words (white space parts words; the last word stands alone),
-weighted by how often they occur. For each of ``samples`` places, a term of weight w draws r and c from
-Gamma(2, 1) and b from the unit interval, all three from its own hash; with t = floor(ln w / r + b), the
-term of the smallest c / exp(r (t - b + 1)) gives the pair (term, t) as the place's sample. Two texts agree
-in a place with the probability of the generalised Jaccard similarity of their weights.
+weighted by how often they occur. A term of weight w is its units (term, 1) to (term, w); of all units, each of
+``samples`` places samples one, a term with a probability in proportion to its weight, and the same one wherever the
+weights are the same. Two texts agree in a place with the probability of the generalised Jaccard similarity of their
+weights, as the sum of the lesser and of the greater weights is the size of the units' intersection and union.
+
+All places are drawn in one pass: a round's hash of a unit gives it a place and a value there, and a place's sample is
+the unit of the earliest round, then of the smallest value. Later rounds only fill places that earlier ones left
+empty, so a text takes as many as it needs for that (fast similarity sketching), long texts a single one.
 
 Null and empty texts are one empty term and so have equal fingerprints. A null id comes before all others.
 Documents stand by id; where an id has several texts, each is fingerprinted, and the one of the smallest
@@ -13,16 +17,21 @@ hash is the predecessor's next text. Rows that repeat whole give as many equal r
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import materialise, partitions, settings
 
-SAMPLES = 16
+SAMPLES = 128
+#: Draws for each place, less the logarithm of their number: e^-12 places are left empty.
+SURE = 12
+#: Units of a term that are made at once.
+UNITS = 4096
 #: Partitions of texts for each of the session's shuffle partitions.
 SPREAD = 4
 #: Stands for a null id; smaller than all others.
 NO_ID = -(1 << 63)
-_UNIT = f"{2.0**-21!r}D"
 
 
 def with_terms(texts: DataFrame, keys: list[str]) -> DataFrame:
@@ -32,23 +41,28 @@ def with_terms(texts: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.select(*keys, F.inline("pairs").alias("a", "b")).select(*keys, F.xxhash64("a", "b").alias("term"))
 
 
-def _uniform(value: str, place: int) -> str:
-    """One of three numbers between 0 and 1, both excluded, from the 63 low bits of a hash."""
-    return f"(((shiftright({value}, {21 * place}) & 2097151) + 0.5D) * {_UNIT})"
-
-
 def samples(weighted: DataFrame, keys: list[str], count: int = SAMPLES) -> DataFrame:
-    """``weighted(*keys, term, weight)`` to ``keys, place, packed``: a group's sample in each place.
+    """``weighted(*keys, term, weight, units)`` to ``keys, place, packed``: a group's sample in each place.
 
-    The high 31 bits hold the logarithm of what is made smallest, the low 32 bits name the term and its t,
-    so the smallest of these longs is the sample and a plain, mergeable ``min`` finds it.
+    ``units`` is the sum of the group's weights. The high bits hold the round, the low 51 bits the value, of which the
+    last 32 name the sample, so the smallest of these longs is the sample and a plain, mergeable ``min`` finds it.
     """
-    drawn = weighted.selectExpr(*keys, "term", "CASE WHEN weight = 1 THEN 0D ELSE ln(weight) END AS lw").withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    drawn = drawn.selectExpr(*keys, "place", "lw", "xxhash64(term, place) AS h")
-    drawn = drawn.selectExpr(*keys, "place", "lw", "h", "xxhash64(h) AS g", f"-ln({_uniform('h', 0)} * {_uniform('h', 1)}) AS r", f"{_uniform('h', 2)} AS b")
-    drawn = drawn.selectExpr(*keys, "place", "h", "r", "b", f"ln(-ln({_uniform('g', 0)} * {_uniform('g', 1)})) AS c", "floor(lw / r + b) AS t")
-    packed = "shiftleft(cast((c - r * (t + 1 - b) + 96D) * 16777216D AS bigint), 32) | ((h ^ (t * 2654435761L)) & 4294967295L) AS packed"
-    return drawn.selectExpr(*keys, "place", packed).groupBy(*keys, "place").agg(F.min("packed").alias("packed"))
+    draws = math.ceil(count * (math.log(count) + SURE))
+    spans = weighted.withColumn("span", F.expr(f"explode(sequence(0L, (weight - 1) div {UNITS}))"))
+    units = spans.withColumn("unit", F.expr(f"explode(sequence(span * {UNITS} + 1, least(weight, (span + 1) * {UNITS})))"))
+    units = units.selectExpr(*keys, "xxhash64(term, unit) AS h", f"({draws} + units - 1) div units AS rounds")
+    drawn = units.selectExpr(*keys, "h", "explode(sequence(0L, rounds - 1)) AS round").selectExpr(*keys, "round", "xxhash64(h, round) AS h")
+    drawn = drawn.selectExpr(*keys, f"int((h & 8191) % {count}) AS place", "shiftleft(round, 51) | shiftrightunsigned(h, 13) AS packed")
+    return drawn.groupBy(*keys, "place").agg(F.min("packed").alias("packed"))
+
+
+def prints(drawn: DataFrame, keys: list[str], count: int = SAMPLES) -> DataFrame:
+    """``drawn(*keys, place, packed)`` to ``keys, marks``: 32 bits a place; a place left empty has the earliest sample of all."""
+    found = drawn.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("place", "packed"))).alias("found"))
+    full = "transform(found, x -> int(x.packed << 32 >> 32))"
+    every = "array_min(transform(found, x -> x.packed))"
+    part = f"transform(sequence(0, {count - 1}), k -> int(coalesce(get(filter(found, x -> x.place = k), 0).packed, {every}) << 32 >> 32))"
+    return found.selectExpr(*keys, f"CASE WHEN size(found) = {count} THEN {full} ELSE {part} END AS marks")
 
 
 def next_documents(ids: DataFrame) -> DataFrame:
@@ -89,28 +103,30 @@ def fingerprints(docs: DataFrame, count: int = SAMPLES) -> DataFrame:
     digests = both.select("id", "hash", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
 
     variants = both.select("id", "hash", F.expr("stack(2, 0, text, 1, edited) AS (variant, text)"))
-    weighted = with_terms(variants, ["id", "hash", "variant"]).groupBy("id", "hash", "variant", "term").agg(F.count("*").alias("weight"))
-    drawn = samples(weighted, ["id", "hash", "variant"], count)
-    mark = F.lpad(F.lower(F.hex(F.col("packed").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")
-    marks = F.sort_array(F.collect_list(F.struct("place", mark.alias("mark"))))
-    drawn = drawn.groupBy("id", "hash", "variant").agg(F.array_join(F.transform(marks, lambda m: m["mark"]), "").alias("print"))
-    drawn = drawn.groupBy("id", "hash").agg(F.max(F.when(F.col("variant") == 0, F.col("print"))).alias("fingerprint"), F.max(F.when(F.col("variant") == 1, F.col("print"))).alias("edited_fingerprint"))
-    # a text's pairs take far more room than the text, so smaller partitions than usual keep them in memory
+    variants = variants.withColumn("units", F.expr(r"bigint(size(split(text, '[\\x20\\x09-\\x0D]+')))"))
+    weighted = with_terms(variants, ["id", "hash", "variant", "units"]).groupBy("id", "hash", "variant", "term").agg(F.count("*").alias("weight"), F.first("units").alias("units"))
+    drawn = prints(samples(weighted, ["id", "hash", "variant"], count), ["id", "hash", "variant"], count)
+    drawn = drawn.groupBy("id", "hash").agg(F.first(F.when(F.col("variant") == 0, F.col("marks")), True).alias("marks"), F.first(F.when(F.col("variant") == 1, F.col("marks")), True).alias("edited_marks"))
+    # a text's pairs take far more room than the text, so smaller partitions than usual keep them in memory;
+    # being dealt by id, the parts of a document's row need not be dealt again to join by id and hash
     spark = docs.sparkSession
-    with settings(spark, spark__sql__shuffle__partitions=str(SPREAD * partitions(spark)), spark__sql__adaptive__coalescePartitions__enabled="false"):
-        signed = materialise(drawn.join(digests, ["id", "hash"]), "signed")
+    with settings(spark, spark__sql__shuffle__partitions=str(SPREAD * partitions(spark)), spark__sql__adaptive__coalescePartitions__enabled="false", spark__sql__requireAllClusterKeysForCoPartition="false"):
+        known = drawn.join(digests, ["id", "hash"]).join(rows, ["id", "hash"]).join(places.select("id", "first_hash", "id_before"), "id")
+        signed = materialise(known.withColumn("first", F.col("hash") == F.col("first_hash")).drop("first_hash"), "signed")
 
-    following = order.select("id", "next_id", "first_hash").join(signed.select("id", F.col("hash").alias("first_hash"), F.col("fingerprint").alias("next_print")), ["id", "first_hash"])
-    following = order.select("id", "next_id").join(following.select(F.col("id").alias("next_id"), "next_print"), "next_id")
-    out = signed.join(rows, ["id", "hash"]).join(following.select("id", "next_print"), "id")
+    following = signed.where("first").select(F.col("id_before").alias("id"), F.col("marks").alias("next_marks"))
+    out = signed.join(following, "id")
     out = out.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     return out.select(
-        F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness("fingerprint", "edited_fingerprint", count).alias("near_edited"), likeness("fingerprint", "next_print", count).alias("near_next"),
+        F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_chars", "edited_sha256", _hex("marks").alias("fingerprint"), _hex("edited_marks").alias("edited_fingerprint"),
+        likeness("marks", "edited_marks").alias("near_edited"), likeness("marks", "next_marks").alias("near_next"),
     )
 
 
-def likeness(a: str, b: str, count: int = SAMPLES) -> Column:
+def _hex(marks: str) -> Column:
+    return F.expr(f"array_join(transform({marks}, m -> lpad(lower(hex(m & 4294967295L)), 8, '0')), '')")
+
+
+def likeness(a: str, b: str) -> Column:
     """The share of places in which two fingerprints agree."""
-    same = [F.expr(f"int(substring({a}, {8 * k + 1}, 8) = substring({b}, {8 * k + 1}, 8))") for k in range(count)]
-    return sum(same[1:], same[0]) / F.lit(float(count))
+    return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> int(x = y)), 0, (n, x) -> n + x) / double(size({a}))")

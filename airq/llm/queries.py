@@ -36,7 +36,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents and their edited texts: fingerprints of 16 samples and their likenesses."""
+    """All documents and their edited texts: fingerprints of 128 samples and their likenesses."""
     return fingerprint.fingerprints(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 

@@ -3,6 +3,7 @@
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -119,6 +120,32 @@ def test_fingerprints(docs, none, texts):
     assert fingerprint.fingerprints(none).count() == 0
 
 
+def test_fingerprint_accuracy(spark, none):
+    rng = random.Random(4)
+    said = {}
+    for k in range(0, 120, 2):  # pairs of neighbouring ids, from short to long, unlike to different degrees
+        w = words(rng, rng.choice([3, 20, 100, 400, 3000])).split() * rng.choice([1, 2])
+        said[k], said[k + 1] = " ".join(w), " ".join(rng.choice(w) if rng.random() < k / 600 else x for x in w)
+    got = {r.doc_id: r for r in fingerprint.fingerprints(spark.createDataFrame(list(said.items()), "doc_id long, text string")).collect()}
+    assert all(len(r.fingerprint) == len(r.edited_fingerprint) == 8 * 128 for r in got.values())
+
+    def weights(text):
+        w = text.split()
+        return Counter(zip(w, [*w[1:], None]))
+
+    errors = []
+    for k in range(0, 120, 2):
+        a, b = weights(said[k]), weights(said[k + 1])
+        errors.append(got[k].near_next - (a & b).total() / (a | b).total())
+    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
+
+
+def test_fingerprint_with_an_empty_place(spark):
+    drawn = spark.createDataFrame([(1, k, (7 + k << 32) + k) for k in range(128) if k != 5], "id long, place int, packed long")
+    marks = fingerprint.prints(drawn, ["id"]).first().marks
+    assert marks == [0 if k == 5 else k for k in range(128)]
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(12, 16))
