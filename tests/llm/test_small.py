@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from airq.llm import embed_neardup, fingerprint, html_extract, langid, mixing, ngram_join, packing, pii_crf, token_rollup, toxicity
+from airq.llm import embed_neardup, fingerprint, langid, mixing, ngram_join, packing, pii_crf, token_rollup, toxicity
 from airq.llm.graph import connected_components
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -159,45 +159,6 @@ def test_embeddings(spark):
     assert all(got[k].n_links <= true[k] for k in x) and sum(got[k].n_links for k in x) >= 0.9 * sum(true.values())
 
 
-def test_html(spark):
-    nav = "<div>Home and all the other things that this site has to offer you</div>"
-    rows = [(k, f"http://h.com/{k}", f"<html><body>{nav}<div>p{k} text {k * 7} of page</div><div class='ad'>buy</div></body></html>") for k in range(4)]
-    rows += [(10, "http://h.com/x", "<nav>m</nav><article><h1>T &amp; t</h1><p>a<br>b <b>c</b>d<!-- x --><script>var a='</p>'</script></article><footer>f</footer>"), (11, None, None), (12, "", "")]
-    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == {k: f"p{k} text {k * 7} of page" for k in range(4)} | {10: "T & t a b cd", 11: "", 12: ""}
-
-
-def test_html_boilerplate_in_articles(spark):
-    banner = "<div class='cookieBanner'>This site stores small files to make your next visit faster</div>"
-    quote = "this line is quoted by the articles of several pages here"
-    body = {k: " ".join(f"w{k}x{n}" for n in range(40)) for k in range(4)}
-    rows = [(k, f"http://h.com/{k}", f"<article><p>{body[k]}</p>{banner}<p>{quote}</p><div class='text'>{quote} and p{k}</div></article>") for k in range(4)]
-    rows += [(k, f"http://c.com/{k}", f"<article><div class='text'><p>{body[0]}</p></div></article>") for k in (10, 11)]
-    rows += [(20, "http://o.com/", f"<article><p>{body[0]}</p>{banner}</article>")]
-    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == {k: f"{body[k]} {quote} {quote} and p{k}" for k in range(4)} | {10: body[0], 11: body[0], 20: f"{body[0]} This site stores small files to make your next visit faster"}
-
-
-def test_html_comments_and_raw_elements():
-    def said(html):
-        found = html_extract.blocks(html)
-        own = html_extract.article(found)
-        return html_extract._open(found) if own is None else [t for t, _ in own]
-
-    comment = "<article class='comment'>nice</article>"
-    assert said(f"<main><p>body</p></main>{comment}") == ["body"]
-    assert said(f"<div>body</div>{comment}") == ["body"]
-    assert said(f"<main><p>body</p>{comment}</main>") == ["body"]
-    assert said("<main><p>body</p></main><article>teaser</article>") == ["body"]
-    assert said(f"<main>menu<article>body{comment}</article></main>") == ["body"]
-    assert said("<article class='social post'>body</article>") == ["body"]
-    assert said("<article>a<svg viewBox='0 0'/>b<math/>c<p>d</p></article>") == ["a", "b", "c", "d"]
-    assert said("<article>a<svg><path/><p>d</p></article>") == ["a"]
-    assert said("<article>a<div><svg><g></div><p>b</p></article>") == ["a", "b"]
-    assert said("<article>a<div><script>x</div><p>b</p></article>") == ["a", "b"]
-    assert said("<article>a<svg><svg></svg>x</svg><p>b</p></article>") == ["a", "b"]
-
-
 def test_language(spark, none):
     rng = random.Random(5)
     say = {"aa": lambda: words(rng, 30), "bb": lambda: " ".join("".join(rng.choices("pqrstuvw", k=5)) for _ in range(30))}
