@@ -7,11 +7,14 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Rows up to which a small side (a few dozen bytes a row) may be broadcast.
 BROADCAST_ROWS = 50_000
 
+#: Folders of the tables written so far.
+_written: list[str] = []
+
 #: Salts used to spread a hot key when the small side is too large to broadcast.
 SALTS = 32
 
@@ -23,12 +26,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; on one machine our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="airq-checkpoint-"))
     return context.getCheckpointDir()
 
@@ -36,9 +41,31 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there, whoever is lost."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/airq-{uuid.uuid4().hex}/{tag}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"{shared_dir(spark)}/airq-{uuid.uuid4().hex}"
+    _written.append(folder)
+    df.write.parquet(f"{folder}/{tag}")
+    return spark.read.schema(df.schema).parquet(f"{folder}/{tag}")
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete every table that was written here so far; call it once the results that read them have been written."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of whole rows; maps, which Spark doesn't hash, go by their text."""
+    return F.xxhash64(*[F.to_json(F.struct(_named(f.name))) if "map<" in f.dataType.simpleString() else _named(f.name) for f in df.schema.fields])
+
+
+def _named(column: str) -> Column:
+    return F.col(f"`{column}`")
+
+
+def as_row(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` as one struct ``row``, so that columns set beside it clash with none."""
+    return df.select(F.struct(*[_named(c) for c in df.columns]).alias("row"))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -53,9 +80,10 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     """
     if small.count() <= rows:
         return big.join(F.broadcast(small), on, how)
-    spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int"))
-    return salted.join(spread, [*on, "_salt"], how).drop("_salt")
+    salt = "salt_" + uuid.uuid4().hex
+    spread = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = big.withColumn(salt, F.pmod(row_hash(big), F.lit(SALTS)).cast("int"))
+    return salted.join(spread, [*on, salt], how).drop(salt)
 
 
 @contextlib.contextmanager

@@ -2,12 +2,15 @@
 
 Document frequencies of the hashed n-grams (one to three characters, white space and everything that is no
 letter counting as one blank) are counted over all documents that may be learned from. The weights are trained
-on a bounded sample of those with a language, ``SAMPLE`` rows at most and evenly by language, with
-follow-the-regularised-leader steps under an elastic net; a held-back fifth of the sample sets the temperature
-that calibrates the probabilities.
+on a bounded sample of those with a language, drawn evenly by language, with follow-the-regularised-leader steps under an
+elastic net; a held-back fifth of the sample sets the temperature that calibrates the probabilities.
+
+The sample is about ``SAMPLE`` rows, but ``LEAST`` of each language, or all that it has, however many languages there are.
+The n-grams are hashed to at most ``BITS`` bits, fewer where languages are so many that the weights would pass ``WEIGHTS``.
 
 A null text, an empty one and one without letters are ``und`` with score 0, as is every text if nothing can be
-learned from. Repeated rows are predicted alike; an empty table gives no rows; other columns are ignored.
+learned from. Texts of any length are read whole; repeated rows are predicted alike and are one row of the sample; an empty
+table gives no rows. ``identify`` ignores other columns, ``keep_identified`` keeps them all, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,9 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-BITS = 16
+from .common import as_row, join_small, materialise
+
+#: Bits of an n-gram's hash, at most and at least, and weights that a model holds but for the last.
+BITS, BITS_LEAST, WEIGHTS = 16, 10, 1 << 24
 GRAMS = 3
-SAMPLE = 3000
+SAMPLE, LEAST = 3000, 20
+#: Code points that there can be.
+POINTS = 0x110000
 UNKNOWN = "und"
 #: Follow-the-regularised-leader: step size, its offset, and the elastic net's two penalties.
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.1
@@ -31,13 +39,13 @@ EPOCHS = 3
 @cache
 def letters() -> np.ndarray:
     """For each code point the letter that it counts as: its own number, or 0 if it is none."""
-    return np.array([k if chr(k).isalpha() else 0 for k in range(0x30000)], np.uint32)
+    return np.array([k if chr(k).isalpha() else 0 for k in range(POINTS)], np.uint32)
 
 
 def grams(text: str, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """A text's hashed n-grams and their counts; none if it has no letter."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    known = letters()[np.where(points < 0x30000, points, 0)].astype(np.uint64)
+    known = letters()[points].astype(np.uint64)
     keep = (known > 0) | (np.concatenate([[1], known[:-1]]) > 0)  # one blank for a run of them
     known = np.concatenate([[0], known[keep], [0]]).astype(np.uint64)
     if not known.any():
@@ -51,22 +59,27 @@ def grams(text: str, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     return ids, counts[ids]
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, documents = np.zeros(1 << BITS, np.int64), 0
-    for batch in batches:
-        for text in batch.column(0):
-            held[grams(text.as_py() or "")[0]] += 1
-            documents += 1
-    ids = np.flatnonzero(held)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(ids, -1)), pa.array(np.append(held[ids], documents))], names=["gram", "documents"])
+def _frequencies(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, documents = np.zeros(1 << bits, np.int64), 0
+        for batch in batches:
+            for text in batch.column(0):
+                held[grams(text.as_py() or "", bits)[0]] += 1
+                documents += 1
+        ids = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(ids, -1)), pa.array(np.append(held[ids], documents))], names=["gram", "documents"])
 
+    return run
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [grams(t.as_py() or "") for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([i.astype(np.uint32).tobytes() for i, _ in found], pa.binary()), pa.array([c.astype(np.uint32).tobytes() for _, c in found], pa.binary())], names=["lang", "ids", "counts"]
-        )
+
+def _counted(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [grams(t.as_py() or "", bits) for t in batch.column(1)]
+            ids, counts = (pa.array([x[k].astype(np.uint32).tobytes() for x in found], pa.binary()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, counts], names=["lang", "ids", "counts"])
+
+    return run
 
 
 class Model:
@@ -74,6 +87,7 @@ class Model:
 
     def __init__(self, langs: list[str], idf: np.ndarray):
         self.langs, self.idf, self.temperature = langs, idf.astype(np.float32), 1.0
+        self.bits = int(np.log2(len(idf)))
         self.weights = np.zeros((len(idf), len(langs)), np.float32)
 
     def features(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -121,45 +135,52 @@ def learnable(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 != 2, F.lit(False))
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
+def train(docs: DataFrame, sample: int = SAMPLE, least: int = LEAST) -> Model | None:
     """A model of ``docs(doc_id, text, lang)``; None without any labelled text."""
-    allowed = docs.where(learnable(F.col("doc_id"))).where("text is not null")
-    rows = allowed.select("text").mapInArrow(_frequencies, "gram long, documents long").groupBy("gram").agg(F.sum("documents").alias("documents")).collect()  # at most 2**BITS + 1
-    held, total = np.zeros(1 << BITS), 0
+    allowed = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(learnable(F.col("doc_id"))).where("text is not null")
+    labelled = allowed.where("lang is not null")
+    sizes = materialise(labelled.groupBy("lang").agg(F.count("*").alias("many")), "languages")
+    classes = sizes.count()  # the model holds a column of weights for each, so they fit the driver
+    if not classes:
+        return None
+    bits = int(min(BITS, max(BITS_LEAST, np.log2(WEIGHTS / classes))))
+    rows = allowed.select("text").mapInArrow(_frequencies(bits), "gram long, documents long").groupBy("gram").agg(F.sum("documents").alias("documents")).collect()  # at most 2**BITS + 1
+    held, total = np.zeros(1 << bits), 0
     for r in rows:
         if r["gram"] < 0:
             total = r["documents"]
         else:
             held[r["gram"]] = r["documents"]
-    labelled = allowed.where("lang is not null")
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count")).limit(500).collect()}
-    if not sizes:
-        return None
-    share = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, sample / len(sizes) / n))])
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
-    drawn = labelled.where(draw < share[F.col("lang")]).limit(2 * sample)  # the draw is about ``sample`` rows; twice that is the bound
-    found = drawn.select("lang", "text").mapInArrow(_counted, "lang string, ids binary, counts binary").collect()
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("language")), F.lit(1 << 40))
+    wanted = float(max(least, sample / classes))
+    share = sizes.select("lang", F.when(F.col("many") > 2 * least, F.lit(wanted) / F.col("many")).otherwise(F.lit(1.0)).alias("share"))
+    drawn = join_small(labelled.select("lang", "text", draw.alias("draw")), materialise(share, "shares"), ["lang"]).where(F.col("draw") < F.col("share") * float(1 << 40))
+    found = drawn.select("lang", "text", "draw").dropDuplicates(["lang", "draw"]).select("lang", "text").mapInArrow(_counted(bits), "lang string, ids binary, counts binary").collect()
     found = sorted((r["lang"], bytes(r["ids"]), bytes(r["counts"])) for r in found if r["ids"])
     if not found:
         return None
     langs = sorted({k for k, _, _ in found})
+    place = {k: n for n, k in enumerate(langs)}
     model = Model(langs, np.log((1 + total) / (1 + held)) + 1)
-    examples = [(np.frombuffer(i, np.uint32).astype(np.int64), np.frombuffer(c, np.uint32), langs.index(k)) for k, i, c in found]
+    examples = [(np.frombuffer(i, np.uint32).astype(np.int64), np.frombuffer(c, np.uint32), place[k]) for k, i, c in found]
     model.train([examples[k] for k in np.random.default_rng(11).permutation(len(examples))])
     return model
 
 
-def _predictor(model: Model | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _predictor(model: Model | None, field: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds the language and its score to the columns but the last, which holds the text; or, with ``field``, to all, the last being a struct that holds the text under that name."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            last = batch.column(batch.num_columns - 1)
             langs, scores = [], []
-            for text in batch.column(batch.num_columns - 1):
-                ids, counts = grams(text.as_py() or "") if model else ((), ())
+            for text in last if field is None else last.field(field):
+                ids, counts = grams(text.as_py() or "", model.bits) if model else ((), ())
                 p = model.probabilities(ids, counts) if len(ids) else None
                 langs.append(UNKNOWN if p is None else model.langs[int(p.argmax())])
                 scores.append(0.0 if p is None else float(p.max()))
-            kept = batch.columns[:-1]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+            kept = batch.num_columns - (field is None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:kept], "lang_pred", "score"])
 
     return run
 
@@ -173,8 +194,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float) -> DataFrame:
     """The rows of ``docs`` whose language is known with at least ``least``, their ``lang`` set to it; other columns as they are."""
     model = train(docs.select("doc_id", "text", "lang"))
-    kept = docs.withColumn("_text", F.col("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    said = kept.mapInArrow(_predictor(model), f"{schema}, lang_pred string, score double")
+    rows = as_row(docs)
+    said = rows.mapInArrow(_predictor(model, "text"), f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")
     said = said.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return said.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    return said.select(F.col("row").withField("lang", F.col("lang_pred").cast(docs.schema["lang"].dataType)).alias("row")).select("row.*")

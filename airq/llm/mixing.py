@@ -5,14 +5,16 @@ is divided again, twelve bits of the hash at a time, until the budget ends at on
 then taken once more if its hash lies under its source's threshold. Nothing is sorted, and reruns agree.
 
 Nulls: a null text has no words, a null source is a source of its own (the last), a null id is an id.
-Rows that repeat in id and text share a hash and are taken or left together. An empty table gives no rows.
+Rows that repeat in id and text share a hash and are taken or left together, as do rows whose hashes are equal by chance.
+Texts of any length are counted whole. An empty table gives no rows. ``copies`` ignores other columns, ``mix`` keeps them
+all, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import join_small, materialise
+from .common import as_row, join_small, materialise
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -25,13 +27,12 @@ def word_count(text: Column) -> Column:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with the source as a key that is never null, its words and its hash of 60 bits."""
-    said = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit("")))
-    return docs.withColumns({
-        "_source": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")),
-        "_size": word_count(F.col("text")),
-        "_hash": F.conv(F.substring(F.md5(said), 1, HASH_BITS // 4), 16, 10).cast("long"),
-    })
+    """The rows of ``docs`` as a struct ``row``, with the source as a key that is never null, its words and its hash of 60 bits."""
+    said = F.concat(F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("row.text", F.lit("")))
+    return as_row(docs).select(
+        "row", F.coalesce(F.concat(F.lit("="), F.col("row.source").cast("string")), F.lit("")).alias("_source"), word_count(F.col("row.text")).alias("_size"),
+        F.conv(F.substring(F.md5(said), 1, HASH_BITS // 4), 16, 10).cast("long").alias("_hash"),
+    )
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -84,7 +85,7 @@ def thresholds(words: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
 
 def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """``docs(doc_id, text, source)`` to ``doc_id, size, source_size, target, taken``: the words that the mix takes."""
-    words = materialise(_keyed(docs).select("doc_id", "_source", "_size", "_hash"), "words")
+    words = materialise(_keyed(docs.select("doc_id", "text", "source")).select("row.doc_id", "_source", "_size", "_hash"), "words")
     mixed = join_small(words, thresholds(words, weights, share, max_epochs), ["_source"])
     times = F.col("whole") + (F.col("_hash") < F.col("threshold")).cast("long")
     return mixed.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * times).alias("taken"))
@@ -96,8 +97,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     found = thresholds(materialise(keyed.select("_source", "_size", "_hash"), "words"), weights, share, max_epochs)
     mixed = join_small(keyed, found.select("_source", F.col("whole").alias("_whole"), F.col("threshold").alias("_threshold")), ["_source"])
     times = F.col("_whole") + (F.col("_hash") < F.col("_threshold")).cast("long")
-    taken = mixed.withColumn("_times", times.cast("int")).where("_times > 0")
-    return taken.withColumn("_time", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    taken = mixed.select("row", times.cast("int").alias("times")).where("times > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
 
 
 ORACLE = r"""

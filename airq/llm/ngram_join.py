@@ -12,7 +12,8 @@
 Sets within one group are connected already, so no pairs are made there; between groups no link is lost.
 
 Null and empty texts have no shingles and link with nothing; repeated rows are equal sets; a null id can belong
-to a component but never names it unless no other can. An empty table gives no rows.
+to a component but never names it unless no other can. Texts of any length are read whole. An empty table gives no rows.
+``components`` ignores other columns, ``keep_one`` keeps them all, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import join_small, materialise, partitions
+from .common import as_row, join_small, materialise, partitions, row_hash
 from .graph import connected_components
 from .shingles import WORDS, set_hash, shingle_sets
 
@@ -33,6 +34,12 @@ PERCENT = 80
 HOT = 256
 #: Tokens of a group's part, about.
 GROUP_TOKENS = 8_000
+#: Bytes of text for each partition of tokens, which a task sorts in memory.
+PARTITION_BYTES = 8 << 20
+#: Sets that meet one part in one task.
+OPENED = 64
+#: Rows, of 8 bytes each, that may be broadcast where one of each component is kept.
+DROPPED_ROWS = 2_000_000
 #: Minimum hashes by which sets are brought together.
 ROUNDS = 4
 
@@ -154,7 +161,11 @@ def _across(sets: DataFrame, gathered: DataFrame, percent: int) -> DataFrame:
 
     parts = placed.groupBy(F.col("part").alias("other")).agg(F.collect_list(F.struct("component", "n", "tokens")).alias("members"))
     parts = parts.withColumn("union", F.array_distinct(F.flatten("members.tokens")))
-    opened = found.join(placed.select("id", "n", "tokens", "component"), "id").join(parts, "other")
+    # a part that many sets open is copied, so that none of its copies meets more than about OPENED of them
+    loads = materialise(found.groupBy("other").agg(F.ceil(F.count("*") / OPENED).cast("int").alias("slots")), "loads")
+    found = join_small(found, loads, ["other"]).withColumn("slot", F.pmod(F.xxhash64("id", F.lit("slot")), "slots").cast("int")).drop("slots")
+    parts = parts.join(loads, "other").withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))).drop("slots")
+    opened = found.join(placed.select("id", "n", "tokens", "component"), "id").join(parts, ["other", "slot"])
     opened = opened.where(f"size(array_intersect(tokens, union)) >= ({percent} * n + 99) div 100")
     similar = f"""filter(members, m -> m.component <> component AND 100 * least(n, m.n) >= {percent} * greatest(n, m.n)
         AND (100 + {percent}) * size(array_intersect(tokens, m.tokens)) >= {percent} * (n + m.n))"""
@@ -167,7 +178,8 @@ def components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> D
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(_shingled(words), ROWS)
     place = F.when(F.col("kind").isin(PAIR, HOT_SUM), F.col("token")).otherwise(F.xxhash64("id", "token"))
-    rows = materialise(rows.repartition(partitions(spark), place).mapInArrow(_shared, ROWS), "shared")
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    rows = materialise(rows.repartition(max(partitions(spark), size // PARTITION_BYTES), place).mapInArrow(_shared, ROWS), "shared")
     documents = rows.where(F.col("kind") == DOCUMENT).select(F.col("id").alias("doc_id"), F.col("token").alias("id"), F.col("n"))
 
     hot = materialise(rows.where(F.col("kind") == HOT_SUM).select("token", F.col("n").alias("hot")), "hot")
@@ -188,4 +200,26 @@ def components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> D
     names = least.groupBy("component").agg(F.min("least").alias("component_id"))
     named = least.join(names, "component").select("id", "component_id")
     empty = documents.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return documents.where("n > 0").join(named, "id").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
+    return join_small(documents.where("n > 0"), materialise(named, "named"), ["id"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
+
+
+def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """The rows of ``docs(doc_id, text, ...)`` less near duplicates: of each component the row of the smallest id stays.
+
+    Rows are told apart by a hash of all their columns, not by id, so unlike texts of one id both stay; of rows that
+    are equal throughout, one stays. Ids that are null come last. Rows without words all stay.
+    """
+    rows = as_row(docs).select("row", row_hash(docs).alias("key"))
+    found = components(rows.select(F.col("key").alias("doc_id"), "row.text"), percent, words).where("n_shingles > 0")
+    found = materialise(found.groupBy(F.col("doc_id").alias("key"), F.col("component_id").alias("component")).agg(F.count("*").alias("many")), "found")
+    shared = materialise(found.groupBy("component").agg(F.count("*").alias("texts")).where("texts > 1").select("component"), "shared")
+    held = materialise(join_small(found, shared, ["component"]).select("key", "component"), "held")
+    ids = join_small(rows.select("key", F.col("row.doc_id").alias("id")).distinct(), held, ["key"], rows=DROPPED_ROWS)
+    first = ids.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key"))["key"].alias("first"))
+    gone = materialise(held.join(first, "component").where("key <> first").select("key").distinct(), "gone")
+    kept = join_small(rows, gone, ["key"], "left_anti", DROPPED_ROWS)
+    again = materialise(found.groupBy("key").agg(F.sum("many").alias("many")).where("many > 1").select("key"), "again")
+    if again.isEmpty():
+        return kept.select("row.*")
+    once = join_small(kept, again, ["key"], "left_semi", DROPPED_ROWS).groupBy("key").agg(F.first("row").alias("row"))
+    return join_small(kept, again, ["key"], "left_anti", DROPPED_ROWS).select("row.*").unionByName(once.select("row.*"))
