@@ -21,6 +21,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import as_row, join_small, materialise
 
@@ -195,6 +196,6 @@ def keep_identified(docs: DataFrame, least: float) -> DataFrame:
     """The rows of ``docs`` whose language is known with at least ``least``, their ``lang`` set to it; other columns as they are."""
     model = train(docs.select("doc_id", "text", "lang"))
     rows = as_row(docs)
-    said = rows.mapInArrow(_predictor(model, "text"), f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+    said = rows.mapInArrow(_predictor(model, "text"), StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
     said = said.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
     return said.select(F.col("row").withField("lang", F.col("lang_pred").cast(docs.schema["lang"].dataType)).alias("row")).select("row.*")

@@ -1,16 +1,20 @@
 """Personal data: base patterns, and a skip-chain conditional random field that makes labels agree across a document.
 
 The patterns find e-mail addresses, IP addresses, card and phone numbers. Their spans and all other tokens with
-digits or an @, or that repeat the name of an address, are the nodes of a document's graph. Neighbouring nodes are joined
+digits or an @, plain or written out, or that repeat the name of an address, are the nodes of a document's graph. Neighbouring nodes are joined
 by chain edges, and distant ones that repeat or resemble each other (same digits, same text but for case and
-written-out signs, an address and its name) by skip edges, whose potentials ask for the same label. Unary weights
-come from shapes and are trained on a bounded sample, with the patterns' spans as labels; chain potentials are
-what the sample's neighbours tell. Loopy message passing then labels the nodes that no pattern matched; spans with
-a belief of at least ``BELIEF`` are added. Spans of the patterns are observed and always stay.
-
-Null and empty texts have no spans. Repeated rows are read alike; an empty table gives no rows; other columns
-are ignored by ``find`` and kept by ``redact``. Groups of similar nodes are joined to their first and their previous
-member, so edges grow with the nodes, however long a text is.
+written-out signs, an address and its name) by skip edges. The field's potentials (shapes to labels, neighbours to each other,
+and how far either kind of skip edge asks for the same label) are trained together by pseudo-likelihood on a bounded sample:
+each node's label given its neighbours'. The patterns' spans are the labels; a node that no pattern found but that a skip
+edge ties to one is left out, as nobody knows its label. Nodes with skip edges are also shown masked, without their shape, and so
+is one more occurrence of each span, written in another way: so the field learns what an occurrence that the
+patterns miss can only learn from the others. Loopy message passing then labels the nodes that no pattern matched, in
+documents with and without spans; nodes with a belief of at least ``BELIEF`` are added. Spans of the patterns are observed and
+always stay.
+
+Null and empty texts have no spans. Repeated rows are read alike, and are one row of the sample; an empty table gives no rows;
+other columns, whatever their names, are ignored by ``find`` and kept by ``redact``. Groups of similar nodes are joined to
+their first and their previous member, so edges grow with the nodes, however long a text is.
 """
 
 from __future__ import annotations
@@ -24,11 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 KINDS = ("email", "ip", "card", "phone")
+#: Texts that the field is trained on, about.
 SAMPLE = 4000
 BELIEF = 0.9
-#: Log potential by which nodes on a skip edge are more likely to agree: same digits or text, a name alone.
-SAME, NAME = 9.0, 4.0
+#: Kinds of skip edges: same digits or text, a name alone.
+SAME, NAME = 0, 1
 ROUNDS = 25
+#: Steps of the training, their size, and the penalty on squared weights.
+STEPS, RATE, PENALTY = 300, 0.1, 1e-4
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -38,6 +45,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[^0-9]+")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D\"'<>\[\]{},;]+")
 _TELLING = re.compile(r"[0-9@]")
+_CANDIDATE = re.compile(r"[0-9@]|\(at\)|_at_", re.I)
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -80,17 +88,18 @@ def written(spans: list[Span]) -> str:
 
 def shape(said: str) -> np.ndarray:
     """What a token looks like, as numbers."""
-    digits, letters = sum(c.isdigit() for c in said), sum(c.isalpha() for c in said)
+    digits, letters = len(_DIGITS.sub("", said)), sum(c.isalpha() for c in said)
     parts = [len(p) for p in re.split(r"[^0-9]+", said) if p]
     return np.array([
         1, "@" in said, said.startswith("+"), digits in range(10, 16), digits in range(14, 20), 4 <= digits < 10, 0 < digits < 4, digits > 19, letters == 0, letters > digits,
         len(parts) == 4 and max(parts) <= 3 and letters == 0, said.count(".") == 3, "(" in said, len(said) > 20, "=" in said or "://" in said, " at " in said or "(at)" in said,
+        digits in range(14, 20) and _luhn(_DIGITS.sub("", said)), len(parts) == 4 and all(int(p) <= 255 for p in re.findall("[0-9]{1,3}", said)),
     ], np.float64)
 
 
 def nodes(text: str, spans: list[Span]) -> list[tuple[int, int, int]]:
     """``(start, end, label)`` in order; the label of a span is 1 + its kind, that of another candidate 0."""
-    if not _TELLING.search(text):
+    if not _CANDIDATE.search(text):
         return []
     taken = [(a, b, 1 + k) for a, k, b in spans]
     names = {text[a:b].split("@")[0].casefold() for a, k, b in spans if k == 0}
@@ -103,12 +112,12 @@ def nodes(text: str, spans: list[Span]) -> list[tuple[int, int, int]]:
         if m.start() < stops or (at < len(covered) and covered[at][0] < m.end()):
             continue
         said = m[0].rstrip(".:!?()")
-        if said and (_TELLING.search(said) or said.casefold() in names):
+        if said and (_CANDIDATE.search(said) or said.casefold() in names):
             taken.append((m.start(), m.start() + len(said), 0))
     return sorted(taken)
 
 
-def skip_edges(said: list[str]) -> list[tuple[int, int, float]]:
+def skip_edges(said: list[str]) -> list[tuple[int, int, int]]:
     """Joins nodes that repeat or resemble each other, each with the first and the previous of its group."""
     first: dict[str, int] = {}
     last: dict[str, int] = {}
@@ -125,38 +134,86 @@ def skip_edges(said: list[str]) -> list[tuple[int, int, float]]:
         name = folded.split("@")[0]
         if len(name) >= 4 and not name.isdigit():
             keys.append(("n" + name, NAME))
-        joined: dict[int, float] = {}
-        for key, strength in keys:
+        joined: dict[int, int] = {}
+        for key, kind in keys:
             for other in {first.get(key), last.get(key)} - {None}:
-                joined[other] = max(strength, joined.get(other, 0.0))
+                joined[other] = min(kind, joined.get(other, kind))
             first.setdefault(key, k)
             last[key] = k
-        out += [(other, k, strength) for other, strength in joined.items()]
+        out += [(other, k, kind) for other, kind in joined.items()]
     return out
 
 
+def rewritten(said: str, label: int) -> str:
+    """An occurrence of a span as people write it where they don't want it found."""
+    if label == 1:
+        return said.replace("@", "(at)")
+    return said.replace(".", "[.]") if label == 2 else _DIGITS.sub("", said)
+
+
 class Field:
-    """The trained potentials: shapes to labels, and neighbours to each other."""
+    """The trained potentials: shapes to labels, neighbours to each other, and for either kind of skip edge what agreeing on no entity and on one is worth."""
 
     def __init__(self) -> None:
         self.unary = np.zeros((len(shape("")), 1 + len(KINDS)))
         self.chain = np.zeros((1 + len(KINDS),) * 2)
+        self.skip = np.zeros((2, 2))
+
+    def agreement(self, kind: int) -> np.ndarray:
+        return np.diag(np.append(self.skip[kind, 0], np.full(len(KINDS), self.skip[kind, 1])))
 
     def fit(self, documents: list[tuple[list[str], list[int]]]) -> None:
-        x = np.array([shape(s) for said, _ in documents for s in said]).reshape(-1, len(self.unary))
-        y = np.array([v for _, labels in documents for v in labels], int)
-        if not len(y):
+        """Maximise the pseudo-likelihood of the labels that are known."""
+        many = 1 + len(KINDS)
+        shapes, before, after, tied, truth, weight = [], [], [], [], [], []
+        hidden = shape("") * 0
+        hidden[0] = 1
+        for said, labels in documents:
+            n = len(said)
+            extra = [k for k in range(n) if labels[k]]  # each span once more, in another spelling, as the chain's end
+            said = [*said, *(rewritten(said[k], labels[k]) for k in extra)]
+            labels = [*labels, *(labels[k] for k in extra)]
+            ties = np.zeros((len(said), 2, many))
+            unsure = np.zeros(len(said), bool)
+            for a, b, kind in skip_edges(said):
+                ties[a, kind, labels[b]] += 1
+                ties[b, kind, labels[a]] += 1
+                unsure[a] |= not labels[a] and bool(labels[b])
+                unsure[b] |= not labels[b] and bool(labels[a])
+            for k in np.flatnonzero(~unsure):
+                seen = shape(said[k]) if k < n else hidden
+                left = labels[k - 1] if 0 < k < n else -1
+                right = labels[k + 1] if k < n - 1 else -1
+                for x in [seen, hidden] if k < n and ties[k].any() else [seen]:
+                    shapes.append(x)
+                    before.append(left)
+                    after.append(right)
+                    tied.append(ties[k])
+                    truth.append(labels[k])
+        if not truth:
             return
-        truth = np.eye(1 + len(KINDS))[y]
-        for step in range(400):
-            p = np.exp(x @ self.unary - (x @ self.unary).max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            self.unary -= 4.0 / (1 + step / 100) * (x.T @ (p - truth) / len(y) + 1e-3 * self.unary)
-        pairs = np.ones_like(self.chain)
-        for _, labels in documents:
-            np.add.at(pairs, (labels[:-1], labels[1:]), 1)
-        pairs /= pairs.sum()
-        self.chain = 0.5 * (np.log(pairs) - np.log(pairs.sum(1, keepdims=True)) - np.log(pairs.sum(0, keepdims=True)))
+        x, y = np.array(shapes), np.eye(many)[truth]
+        one = np.eye(many + 1)[:, :many]  # -1, no neighbour, is a row of zeros
+        before, after, tied = one[before], one[after], np.array(tied)
+        weight = 1 / np.maximum(1, y.sum(0))[truth]  # every label has one voice
+        weight = (0.5 * weight / weight.sum() + 0.5 / len(y))[:, None]
+        parts = [self.unary, self.chain, self.skip]
+        first, second = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
+        for step in range(1, STEPS + 1):
+            z = x @ self.unary + before @ self.chain + after @ self.chain.T
+            z[:, 0] += tied[:, :, 0] @ self.skip[:, 0]
+            z[:, 1:] += np.einsum("nkl,k->nl", tied[:, :, 1:], self.skip[:, 1])
+            p = np.exp(z - z.max(1, keepdims=True))
+            wrong = weight * (p / p.sum(1, keepdims=True) - y)
+            slopes = [
+                x.T @ wrong, before.T @ wrong + wrong.T @ after,
+                np.stack([np.einsum("nk,n->k", tied[:, :, 0], wrong[:, 0]), np.einsum("nkl,nl->k", tied[:, :, 1:], wrong[:, 1:])], 1),
+            ]
+            for value, slope, m, v in zip(parts, slopes, first, second, strict=True):
+                slope = slope + PENALTY * value
+                m += 0.1 * (slope - m)
+                v += 0.01 * (slope * slope - v)
+                value -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
 
     def beliefs(self, said: list[str], labels: list[int]) -> np.ndarray:
         """Each node's label probabilities by loopy sum-product messages, halved into the old ones."""
@@ -165,7 +222,7 @@ class Field:
         seen = np.array(labels) > 0
         own[seen] = -1e3
         own[np.flatnonzero(seen), np.array(labels)[seen]] = 0
-        edges = [(k, k + 1, self.chain) for k in range(n - 1)] + [(a, b, np.eye(many) * w) for a, b, w in skip_edges(said)]
+        edges = [(k, k + 1, self.chain) for k in range(n - 1)] + [(a, b, self.agreement(kind)) for a, b, kind in skip_edges(said)]
         a = np.array([e[0] for e in edges] + [e[1] for e in edges], int)
         b = np.array([e[1] for e in edges] + [e[0] for e in edges], int)
         if not len(a):
@@ -189,7 +246,7 @@ class Field:
     def spans(self, text: str) -> tuple[list[Span], list[Span]]:
         """The patterns' spans, and all spans."""
         base = base_spans(text)
-        found = nodes(text, base) if base else []  # without an observed span nothing is there to agree with
+        found = nodes(text, base)
         if all(label for _, _, label in found):
             return base, base
         p = self.beliefs([text[a:b] for a, b, _ in found], [label for _, _, label in found])
@@ -206,9 +263,11 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    """A field from at most ``sample`` texts with digits or an @, drawn by their hash."""
+    """A field from about ``sample`` different texts with digits or an @, drawn by their hash."""
     field = Field()
-    drawn = docs.select("text").where(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("text"), "text").limit(sample)
+    telling = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]")).select("text", F.pmod(F.xxhash64("text"), F.lit(1 << 40)).alias("draw"))
+    texts = telling.select("draw").distinct().count()
+    drawn = telling.where(F.col("draw") < float(1 << 40) * min(1.0, sample / max(1, texts))).dropDuplicates(["draw"]).select("text")
     rows = drawn.mapInArrow(_labelled, "said array<string>, labels array<long>").collect()
     field.fit(sorted((r["said"], r["labels"]) for r in rows if r["said"]))
     return field
