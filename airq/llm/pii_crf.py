@@ -6,7 +6,7 @@ by chain edges, and distant ones that repeat or resemble each other (same digits
 written-out signs, an address and its name) by skip edges. The field's potentials (shapes to labels, neighbours to each other,
 and how far either kind of skip edge asks for the same label) are trained together by pseudo-likelihood on a bounded sample:
 each node's label given its neighbours'. The patterns' spans are the labels; a node that no pattern found but that a skip
-edge ties to one is left out, as nobody knows its label. Nodes with skip edges are also shown masked, without their shape, and so
+edge ties to one is left out, as nobody knows its label. Nodes are also shown masked, without their shape, and so
 is one more occurrence of each span, written in another way: so the field learns what an occurrence that the
 patterns miss can only learn from the others. Loopy message passing then labels the nodes that no pattern matched, in
 documents with and without spans; nodes with a belief of at least ``BELIEF`` are added. Spans of the patterns are observed and
@@ -152,15 +152,15 @@ def rewritten(said: str, label: int) -> str:
 
 
 class Field:
-    """The trained potentials: shapes to labels, neighbours to each other, and for either kind of skip edge what agreeing on no entity and on one is worth."""
+    """The trained potentials: shapes to labels, neighbours to each other, and for either kind of skip edge what agreeing is worth."""
 
     def __init__(self) -> None:
         self.unary = np.zeros((len(shape("")), 1 + len(KINDS)))
         self.chain = np.zeros((1 + len(KINDS),) * 2)
-        self.skip = np.zeros((2, 2))
+        self.skip = np.zeros(2)
 
     def agreement(self, kind: int) -> np.ndarray:
-        return np.diag(np.append(self.skip[kind, 0], np.full(len(KINDS), self.skip[kind, 1])))
+        return np.eye(1 + len(KINDS)) * self.skip[kind]
 
     def fit(self, documents: list[tuple[list[str], list[int]]]) -> None:
         """Maximise the pseudo-likelihood of the labels that are known."""
@@ -184,7 +184,7 @@ class Field:
                 seen = shape(said[k]) if k < n else hidden
                 left = labels[k - 1] if 0 < k < n else -1
                 right = labels[k + 1] if k < n - 1 else -1
-                for x in [seen, hidden] if k < n and ties[k].any() else [seen]:
+                for x in [seen, hidden] if k < n else [seen]:
                     shapes.append(x)
                     before.append(left)
                     after.append(right)
@@ -201,14 +201,10 @@ class Field:
         first, second = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
         for step in range(1, STEPS + 1):
             z = x @ self.unary + before @ self.chain + after @ self.chain.T
-            z[:, 0] += tied[:, :, 0] @ self.skip[:, 0]
-            z[:, 1:] += np.einsum("nkl,k->nl", tied[:, :, 1:], self.skip[:, 1])
+            z += np.einsum("nkl,k->nl", tied, self.skip)
             p = np.exp(z - z.max(1, keepdims=True))
             wrong = weight * (p / p.sum(1, keepdims=True) - y)
-            slopes = [
-                x.T @ wrong, before.T @ wrong + wrong.T @ after,
-                np.stack([np.einsum("nk,n->k", tied[:, :, 0], wrong[:, 0]), np.einsum("nkl,nl->k", tied[:, :, 1:], wrong[:, 1:])], 1),
-            ]
+            slopes = [x.T @ wrong, before.T @ wrong + wrong.T @ after, np.einsum("nkl,nl->k", tied, wrong)]
             for value, slope, m, v in zip(parts, slopes, first, second, strict=True):
                 slope = slope + PENALTY * value
                 m += 0.1 * (slope - m)
