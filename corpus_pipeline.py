@@ -1,58 +1,5 @@
-"""A corpus pipeline of five stages, each a Spark job over all that its predecessor kept."""
+"""The corpus pipeline's entry points; its stages are in ``airq.llm.pipeline``."""
 
-from __future__ import annotations
+from airq.llm.pipeline import ORACLE_SQL, STAGES, run
 
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-
-from airq.llm import langid, mixing, ngram_join, packing, pii_crf
-from airq.llm.common import join_small, materialise
-
-#: Documents whose language is less sure than this are rejected; texts without letters always are.
-LEAST_LANGUAGE = 0.4
-#: Ids of dropped documents that may be broadcast: 16 bytes each.
-DROPPED_ROWS = 2_000_000
-
-
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a known language, their ``lang`` set to it."""
-    return langid.keep_identified(docs, LEAST_LANGUAGE)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of the smallest id; rows without an id stay."""
-    found = materialise(ngram_join.components(docs.select("doc_id", "text")), "components")
-    gone = materialise(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    kept = join_small(docs, gone, ["doc_id"], "left_anti", DROPPED_ROWS)
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-
-
-def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind."""
-    return pii_crf.redact(docs, pii_crf.train(docs.select("text")))
-
-
-def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, each as often as it takes it."""
-    return mixing.mix(docs)
-
-
-def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed into sequences."""
-    return packing.pack_documents(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
-
-
-STAGES = [("language_id", language_id), ("ngram_join", near_duplicates), ("pii", personal_data), ("mixing", source_mix), ("packing", sequences)]
-
-#: No stage but the mix can be said in SQL.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
