@@ -63,9 +63,9 @@ def _named(column: str) -> Column:
     return F.col(f"`{column}`")
 
 
-def as_row(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` as one struct ``row``, so that columns set beside it clash with none."""
-    return df.select(F.struct(*[_named(c) for c in df.columns]).alias("row"))
+def as_row(df: DataFrame, **beside: Column) -> DataFrame:
+    """The rows of ``df`` as one struct ``row``, and columns of them set beside it, which so clash with none."""
+    return df.select(F.struct(*[_named(c) for c in df.columns]).alias("row"), *[c.alias(n) for n, c in beside.items()])
 
 
 def partitions(spark: SparkSession) -> int:

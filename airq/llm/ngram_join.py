@@ -209,7 +209,7 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> Dat
     Rows are told apart by a hash of all their columns, not by id, so unlike texts of one id both stay; of rows that
     are equal throughout, one stays. Ids that are null come last. Rows without words all stay.
     """
-    rows = as_row(docs).select("row", row_hash(docs).alias("key"))
+    rows = as_row(docs, key=row_hash(docs))
     found = components(rows.select(F.col("key").alias("doc_id"), "row.text"), percent, words).where("n_shingles > 0")
     found = materialise(found.groupBy(F.col("doc_id").alias("key"), F.col("component_id").alias("component")).agg(F.count("*").alias("many")), "found")
     shared = materialise(found.groupBy("component").agg(F.count("*").alias("texts")).where("texts > 1").select("component"), "shared")
