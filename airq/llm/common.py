@@ -43,7 +43,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     folder = f"{shared_dir(spark)}/airq-{uuid.uuid4().hex}"
     _written.append(folder)
-    df.write.parquet(f"{folder}/{tag}")
+    df.write.option("compression", "zstd").parquet(f"{folder}/{tag}")
     return spark.read.schema(df.schema).parquet(f"{folder}/{tag}")
 
 

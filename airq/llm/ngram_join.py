@@ -30,12 +30,12 @@ from .shingles import WORDS, set_hash, shingle_sets
 
 #: Similarity asked for, in hundredths.
 PERCENT = 80
-#: A shingle that more sets of one batch of rows have is summed up there before it is shuffled.
-HOT = 256
+#: Rows that are read at once, and how many sets of them may have a shingle before it is summed up there and then shuffled.
+ROWS_AT_ONCE, HOT = 1000, 32
 #: Tokens of a group's part, about.
 GROUP_TOKENS = 8_000
 #: Bytes of text for each partition of tokens, which a task sorts in memory.
-PARTITION_BYTES = 8 << 20
+PARTITION_BYTES = 16 << 20
 #: Sets that meet one part in one task.
 OPENED = 64
 #: Rows, of 8 bytes each, that may be broadcast where one of each component is kept.
@@ -58,11 +58,11 @@ def _shingled(words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
-            ids, sets, sizes, new_ids, new_sets = batch.column(0), [], [], [], []
-            for at in range(0, batch.num_rows, 1000):
-                texts = [t or b"" for t in batch.column(1).slice(at, 1000).cast(pa.binary()).to_pylist()]
-                for shingles in shingle_sets(texts, words):
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                ids, sets, sizes, new_ids, new_sets = batch.column(0), [], [], [], []
+                for shingles in shingle_sets([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()], words):
                     key = set_hash(shingles)
                     sets.append(key)
                     sizes.append(len(shingles))
@@ -70,9 +70,10 @@ def _shingled(words: int):
                         seen.add(key)
                         new_ids.append(key)
                         new_sets.append(shingles)
-            known = ids.is_null().to_numpy(zero_copy_only=False)
-            yield _rows(DOCUMENT, ids.fill_null(0).to_numpy(), np.array(sets, np.int64), np.array(sizes, np.int64), known)
-            if new_sets:
+                known = ids.is_null().to_numpy(zero_copy_only=False)
+                yield _rows(DOCUMENT, ids.fill_null(0).to_numpy(), np.array(sets, np.int64), np.array(sizes, np.int64), known)
+                if not new_sets:
+                    continue
                 tokens = np.concatenate(new_sets).view(np.int64)
                 owners = np.repeat(np.array(new_ids, np.int64), list(map(len, new_sets)))
                 found, counts = np.unique(tokens, return_counts=True)
