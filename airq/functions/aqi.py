@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..config import CATEGORIES, COMPARED, DARK, DEFAULT_SCALE, MAX_INDEX, MG, POLLUTANTS, UG, bands
+from ..config import CATEGORIES, COMPARED, DARK, DEFAULT_SCALE, MAX_INDEX, MG, POLLUTANTS, PPB_TO_UG, PPM_TO_MG, UG, bands
 
 
 def _double(value: float) -> Column:
@@ -52,6 +52,18 @@ def sub_index(pollutant: Column, value: Column, scale: str = DEFAULT_SCALE, gaps
     return F.when(failing, F.raise_error(F.lit("negative concentration or unknown pollutant")).cast("int")).otherwise(known)
 
 
+def index_of(pollutant: str, value: Column, scale: str = DEFAULT_SCALE, gaps: str = "reference") -> Column:
+    """``sub_index`` for one known pollutant: its own six bands alone, so that many of these fit one generated method."""
+    rows = bands(scale, pollutant)
+    out = F.when(value.between(_double(rows[0][0]), _double(rows[0][1])), _line(value, rows[0]))
+    for below, band in zip(rows, rows[1:], strict=False):
+        if gaps == "bridge":
+            out = out.when((value > _double(below[1])) & (value < _double(band[0])), _double(band[2]))
+        out = out.when(value.between(_double(band[0]), _double(band[1])), _line(value, band))
+    raw = out.otherwise(_line(value, rows[-1]))
+    return F.when(value >= 0, F.least(F.lit(MAX_INDEX), F.floor(raw + F.lit(0.5))).cast("int"))
+
+
 def strict_sub_index(value: Column, scale: str) -> Column:
     """The older fine-particle bands without rounding or extension; null outside every band."""
     out = None
@@ -123,7 +135,13 @@ def sub_index_by_join(df: DataFrame, scale: str = DEFAULT_SCALE) -> DataFrame:
 
 
 def register_functions(spark: SparkSession) -> None:
-    """SQL functions for the session: ``aqi_sub_index_<scale>(pollutant, value)`` and ``aqi_label_<scale>(value)``."""
+    """SQL functions for the session: ``aqi_sub_index_<scale>(pollutant, value)``, ``aqi_label_<scale>(value)`` and ``aqi_to_canonical(pollutant, value, unit)``."""
+    gases = " ".join(f"WHEN pollutant = '{p}' AND unit = 'ppb' THEN value * {f}D WHEN pollutant = '{p}' AND unit = 'ppm' THEN value * {f}D * 1000D" for p, f in PPB_TO_UG.items())
+    gases += " ".join(f" WHEN pollutant = '{p}' AND unit = 'ppm' THEN value * {f}D WHEN pollutant = '{p}' AND unit = 'ppb' THEN value * {f}D / 1000D" for p, f in PPM_TO_MG.items())
+    micro = ", ".join(f"'{p}'" for p in POLLUTANTS if p != "co")
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION aqi_to_canonical(pollutant STRING, value DOUBLE, unit STRING) RETURNS DOUBLE RETURN CASE WHEN isnan(value) THEN NULL
+      WHEN pollutant IN ({micro}) AND unit = '{UG}' THEN value WHEN pollutant IN ({micro}) AND unit = '{MG}' THEN value * 1000D
+      WHEN pollutant = 'co' AND unit = '{MG}' THEN value WHEN pollutant = 'co' AND unit = '{UG}' THEN value / 1000D {gases} END""")
     for scale in CATEGORIES:
         cases = " ".join(
             f"WHEN pollutant = '{p}' THEN CASE {' '.join(f'WHEN value BETWEEN {a}D AND {b}D THEN {(j - i) / (b - a)!r}D * (value - {a}D) + {i}' for a, b, i, j in bands(scale, p))} "

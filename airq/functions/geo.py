@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..config import CITIES
 
+#: Parts that the readings of one place are dealt to.
+SALTS = 16
 #: The ellipsoid of GPS coordinates.
 AXIS, FLATTENING = 6378137.0, 1 / 298.257223563
 
@@ -62,17 +64,22 @@ def readings_within_radius(readings: DataFrame, lat: float, lng: float, radius:
 def radius_join(points: DataFrame, readings: DataFrame, radius: float) -> DataFrame:
     """Pairs of ``points(point_id, lat, lng)`` and readings at most ``radius`` metres apart, with their ``distance``.
 
-    An equi-join on grid cells of a latitude step no smaller than the radius; each point stands in its own
-    row of cells and the two beside it, over as many columns as the radius spans at its latitude.
+    Distances are taken once for each distinct place of the readings: places and points are joined on grid cells of a
+    latitude step no smaller than the radius, where each point stands in its own row of cells and the two beside it, over as
+    many columns as the radius spans at its latitude. Readings then join their place's points; a place that holds many
+    readings is spread by a salt.
     """
     step = radius / 110_000
     row = lambda lat: F.floor(lat / step).cast("int")
     wide = lambda r: F.lit(step) / F.greatest(F.cos(F.radians(F.least(F.lit(89.0), F.abs(r * step) + 2 * step))), F.lit(0.01))
     rows = points.withColumn("row", F.explode(F.sequence(row(F.col("lat")) - 1, row(F.col("lat")) + 1)))
     turns = F.array(*[F.col("lng") + F.lit(t) for t in (-360.0, 0.0, 360.0)])
-    rows = rows.withColumn("turned", F.explode(turns))
+    rows = rows.withColumn("turned", F.explode(turns)).where(F.abs("turned") <= 180 + 2 * wide(F.col("row")))  # only what crosses the line is turned
     column = F.floor(F.col("turned") / wide(F.col("row"))).cast("int")
     cells = rows.withColumn("column", F.explode(F.sequence(column - 1, column + 1))).drop("turned")
-    placed = readings.withColumn("row", row(F.col("latitude"))).withColumn("column", F.floor(F.col("longitude") / wide(F.col("row"))).cast("int"))
-    pairs = placed.join(cells, ["row", "column"]).withColumn("distance", distance(F.col("lat"), F.col("lng"), F.col("latitude"), F.col("longitude")))
-    return pairs.where(F.col("distance") <= radius).drop("row", "column", "lat", "lng")
+    places = readings.where("latitude is not null and longitude is not null").select("latitude", "longitude").distinct()
+    placed = places.withColumn("row", row(F.col("latitude"))).withColumn("column", F.floor(F.col("longitude") / wide(F.col("row"))).cast("int"))
+    near = placed.join(cells, ["row", "column"]).withColumn("distance", distance(F.col("lat"), F.col("lng"), F.col("latitude"), F.col("longitude")))
+    near = near.where(F.col("distance") <= radius).drop("row", "column", "lat", "lng").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = readings.withColumn("_salt", F.pmod(F.xxhash64(*readings.columns), F.lit(SALTS)).cast("int"))
+    return salted.join(near, ["latitude", "longitude", "_salt"]).drop("_salt").select(*readings.columns, *[c for c in points.columns if c not in ("lat", "lng")], "distance")

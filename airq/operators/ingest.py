@@ -51,9 +51,10 @@ def composite_aqi(values: DataFrame, scale: str = DEFAULT_SCALE, gaps: str = "re
 
 
 def instants(df: DataFrame, scale: str = DEFAULT_SCALE, gaps: str = "reference") -> DataFrame:
-    """Both of the above in one shuffle: per monitor and instant a column per pollutant, and the composite."""
+    """Both of the above in one shuffle: per monitor and instant a column per pollutant, and the composite; instants without an index are left out."""
     wide = df.groupBy(*INSTANT).agg(*[F.max(F.when(F.col("pollutant") == p, F.col("canonical_value"))).alias(p) for p in POLLUTANTS])
-    return wide.withColumn("aqi_value", F.greatest(*[aqi.sub_index(F.lit(p), F.col(p), scale, gaps) for p in POLLUTANTS]))
+    wide = wide.where(F.greatest(*POLLUTANTS) >= 0)  # plain columns: a condition on the index would work it out twice
+    return wide.withColumn("aqi_value", F.greatest(*[aqi.index_of(p, F.col(p), scale, gaps) for p in POLLUTANTS]))
 
 
 def file_position(df: DataFrame) -> DataFrame:
@@ -66,14 +67,14 @@ def reading_id():
 
 
 def build_readings(df: DataFrame, user_id: str = "import", scale: str = DEFAULT_SCALE) -> DataFrame:
-    rows = instants(df, scale).where("aqi_value is not null").join(file_position(df), "monitor_id")
+    rows = instants(df, scale).join(file_position(df), "monitor_id")
     rows = rows.withColumn("source", F.lit("openaq")).withColumn("user_id", F.lit(user_id))
     return rows.select(reading_id().alias("id"), "user_id", "monitor_id", "aqi_value", "latitude", "longitude", "source", "recorded_at")
 
 
 def build_measurements(df: DataFrame) -> DataFrame:
     """A row per monitor, instant and pollutant, with the canonical unit; its reading is linked later."""
-    wide = instants(df).where("aqi_value is not null")
+    wide = instants(df)
     pairs = F.array(*[F.struct(F.lit(p).alias("pollutant"), F.col(p).alias("value")) for p in POLLUTANTS])
     tall = wide.select(*INSTANT, F.inline(F.filter(pairs, lambda m: m["value"].isNotNull())))
     return tall.withColumn("unit", units.canonical_unit(F.col("pollutant")))

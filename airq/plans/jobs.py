@@ -32,6 +32,7 @@ def usable(observations: DataFrame) -> DataFrame:
 def load(observations: DataFrame, root: str, user_id: str, dry_run: bool = False) -> DataFrame:
     """Usable observations ``(monitor_id, recorded_at, lat, lon, ...)`` into the tables under ``root``; one row of counts."""
     spark = observations.sparkSession
+    observations = files.settled(observations.select("monitor_id", "recorded_at", "pollutant", "canonical_value", "lat", "lon"))  # parsed once for all that follows
     new_readings, new_measurements = ingest.build_readings(observations, user_id), ingest.build_measurements(observations)
     if dry_run:
         return ingest.ingest_summary(new_readings, new_measurements)
@@ -49,7 +50,8 @@ def load(observations: DataFrame, root: str, user_id: str, dry_run: bool = False
 
 def daily_backfill(spark: SparkSession, archive: str, manifest: str, root: str, day: date, user_id: str = "import", dry_run: bool = False) -> DataFrame:
     stations = files.read_manifest(spark, manifest).select(F.col("location_id").alias("locationid"), "monitor_id")
-    rows = files.scan_archive(spark, archive, day).withColumn("recorded_at", units.parse_ts_lenient(F.col("datetime")))
+    known = [r[0] for r in stations.select("locationid").distinct().collect()]  # a row a station of the manifest
+    rows = files.scan_archive(spark, archive, day, known).withColumn("recorded_at", units.parse_ts_lenient(F.col("datetime")))
     return load(usable(ingest.attach_station(rows, stations, "locationid")), root, user_id, dry_run)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from datetime import date, datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.upsert import new_measurements_only, new_readings_only, upsert_monitors
@@ -22,10 +23,16 @@ MANIFEST = (
 
 
 def scan_archive(spark: SparkSession, base: str, day: date, location_ids: list[int] | None = None) -> DataFrame:
-    """Station-day files under ``locationid=/year=/month=``: partitions and file names are pruned to the day and the stations."""
-    rows = spark.read.schema(f"{ARCHIVE}, locationid bigint, year int, month int").option("header", True).option("pathGlobFilter", f"*-{day:%Y%m%d}.csv.gz").csv(base)
-    rows = rows.where((F.col("year") == day.year) & (F.col("month") == day.month))
-    return rows if location_ids is None else rows.where(F.col("locationid").isin(*location_ids))
+    """Station-day files under ``locationid=/year=/month=``; file names are pruned to the day, and with ``location_ids`` only those stations' folders of the month are listed."""
+    schema = f"{ARCHIVE}, locationid bigint, year int, month int"
+    reader = spark.read.schema(schema).option("header", True).option("pathGlobFilter", f"*-{day:%Y%m%d}.csv.gz").option("basePath", base)
+    month = f"year={day.year}/month={day.month:02d}"
+    if location_ids is None:
+        return reader.csv(base).where((F.col("year") == day.year) & (F.col("month") == day.month))
+    try:  # a glob, as stations without data in the month have no folder
+        return reader.csv(f"{base}/locationid={{{','.join(map(str, sorted(location_ids)))}}}/{month}")
+    except AnalysisException:  # none has
+        return spark.createDataFrame([], schema)
 
 
 def scan_api_measurements(spark: SparkSession, path: str) -> DataFrame:
@@ -38,8 +45,6 @@ def scan_locations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    from pyspark.errors import AnalysisException
-
     try:
         return spark.read.schema(MANIFEST).parquet(path)
     except AnalysisException as e:
@@ -63,7 +68,10 @@ def settled(df: DataFrame) -> DataFrame:
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="airq-checkpoint-"))
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="airq-checkpoint-"))
     return df.checkpoint()
 
 
