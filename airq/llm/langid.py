@@ -40,7 +40,7 @@ EPOCHS = 3
 @cache
 def letters() -> np.ndarray:
     """For each code point the letter that it counts as: its own number, or 0 if it is none."""
-    return np.array([k if chr(k).isalpha() else 0 for k in range(POINTS)], np.uint32)
+    return np.fromiter((k if chr(k).isalpha() else 0 for k in range(POINTS)), np.uint32, POINTS)
 
 
 def grams(text: str, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:

@@ -25,8 +25,8 @@ from .common import materialise, partitions
 
 SEQ_LEN = 2048
 END_ID = 1
-#: Distinct words whose ids a Python worker remembers.
-CACHE_WORDS = 400_000
+#: Distinct words whose ids a Python worker remembers within a task.
+CACHE_WORDS = 200_000
 
 #: Texts without such characters are split into words here; any other goes to the tokenizer whole.
 OTHER = re.compile("[^\\t\\n\\x0b\\x0c\\r\\x20-\\x7e\\xa0-\\u012f\\u0131-\\u024f]")
@@ -123,6 +123,7 @@ def _cutter(path: str, seq_len: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
                     ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
                     rows += [(doc_id, s, min(seq_len, len(ids) - s), zlib.crc32(ids[s : s + seq_len].tobytes()), len(ids)) for s in range(0, len(ids), seq_len)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        encoder.forget()  # the worker lives on, with other tasks
 
     return cut
 
