@@ -100,6 +100,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not kept:
         return
     ids, tokens, n = (np.concatenate(x) for x in zip(*kept, strict=True))
+    kept.clear()
     order = np.argsort(tokens)
     ids, tokens, n = ids[order], tokens[order], n[order]
     if not len(tokens):

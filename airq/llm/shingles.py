@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 WORDS = 5
+#: Bytes of text that are hashed at once, a few dozen bytes of arrays for each; a longer text is hashed by itself.
+AT_ONCE = 1 << 18
 _RNG = np.random.default_rng(20240601)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -20,13 +22,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2**64."""
-    if len(_POWERS[0]) < size:
+    """Powers of an odd base and of its inverse, modulo 2**64; those that usual sizes need are kept."""
+    found = list(_POWERS)
+    if len(found[0]) < size:
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             steps = np.full(size, np.uint64(base))
             steps[0] = 1
-            _POWERS[k] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS[0][:size], _POWERS[1][:size]
+            found[k] = np.cumprod(steps, dtype=np.uint64)
+        if size <= 2 * AT_ONCE:
+            _POWERS[:] = found
+    return found[0][:size], found[1][:size]
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -47,6 +52,17 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     """For each text its distinct shingles of ``words`` words, sorted; a shorter text is one shingle, an empty one none."""
+    out, part, size = [], [], 0
+    for text in texts:
+        if part and size + len(text) > AT_ONCE:
+            out += _sets(part, words)
+            part, size = [], 0
+        part.append(text)
+        size += len(text) + 1
+    return out + _sets(part, words)
+
+
+def _sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     hashes, owner = word_hashes(texts)
     counts = np.bincount(owner, minlength=len(texts)) if len(texts) else np.zeros(0, np.int64)
     ends = np.cumsum(counts)
