@@ -16,16 +16,24 @@ def canonical_unit(pollutant: Column) -> Column:
     return F.when(pollutant == "co", MG).otherwise(UG)
 
 
+def _rates() -> dict[str, tuple[float, float, float]]:
+    """For each pollutant and unit that converts: what a value is multiplied by, multiplied by again, and divided by, in this order."""
+    out = {}
+    for p in POLLUTANTS:
+        out |= {f"{p}|{MG}": (1.0, 1.0, 1.0), f"{p}|{UG}": (1.0, 1.0, 1000.0)} if p == "co" else {f"{p}|{UG}": (1.0, 1.0, 1.0), f"{p}|{MG}": (1.0, 1000.0, 1.0)}
+    out |= {k: v for p, f in PPB_TO_UG.items() for k, v in ((f"{p}|ppb", (f, 1.0, 1.0)), (f"{p}|ppm", (f, 1000.0, 1.0)))}
+    return out | {k: v for p, f in PPM_TO_MG.items() for k, v in ((f"{p}|ppm", (f, 1.0, 1.0)), (f"{p}|ppb", (f, 1.0, 1000.0)))}
+
+
 def convert_to_canonical(pollutant: Column, value: Column, unit: Column) -> Column:
-    """The value in its pollutant's canonical unit; null for an unknown pollutant or a unit that does not convert. NaN is null."""
-    v = F.when(~F.isnan(value), value)
-    micro = pollutant.isin(*[p for p in POLLUTANTS if p != "co"])
-    out = F.when(micro & (unit == UG), v).when(micro & (unit == MG), v * 1000.0).when((pollutant == "co") & (unit == MG), v).when((pollutant == "co") & (unit == UG), v / 1000.0)
-    for p, factor in PPB_TO_UG.items():
-        out = out.when((pollutant == p) & (unit == "ppb"), v * factor).when((pollutant == p) & (unit == "ppm"), v * factor * 1000.0)
-    for p, factor in PPM_TO_MG.items():
-        out = out.when((pollutant == p) & (unit == "ppm"), v * factor).when((pollutant == p) & (unit == "ppb"), v * factor / 1000.0)
-    return out
+    """The value in its pollutant's canonical unit; null for an unknown pollutant or a unit that does not convert. NaN is null.
+
+    One lookup in a constant map instead of a case for each unit: filters on the result are pushed below the
+    projections that derive its inputs, and every mention of an input there repeats how it is derived.
+    """
+    table = F.create_map(*[x for k, v in _rates().items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    rate = table[F.concat(pollutant, F.lit("|"), unit)]
+    return F.nanvl(value, F.lit(None).cast("double")) * rate[0] * rate[1] / rate[2]
 
 
 def canonical_ts(text: Column) -> Column:
