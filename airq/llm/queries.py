@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_neardup, fingerprint, html_extract, langid, mixing, ngram_join, pii_crf, token_rollup, toxicity
+from . import embed_neardup, fingerprint, html_extract, langid, lexical, mixing, negatives, ngram_join, pii_crf, quality, token_rollup, toxicity
 from .common import read_table
 from .packing import pack_documents
 
@@ -68,6 +68,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"), TOKENIZER)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, ranked for each benchmark item: its 50 highest scores."""
+    return lexical.search(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings: the hard negatives of every hundredth's five nearest of its label."""
+    return negatives.mine(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: the quality of the whole text."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return quality.score(docs, quality.train(docs, read_table(spark, sf_dir, "labels", "doc_id", "quality")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_embedding_neardup": op2_embedding_neardup,
@@ -79,8 +95,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_ngram_join": op9_ngram_join,
     "op10_packing": op10_packing,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_quality": op13_quality,
 }
 
 ORACLES: dict[str, str] = {
     "op1_mixing": mixing.ORACLE,
+    "op11_lexical_search": lexical.ORACLE,
+    "op12_hard_negatives": negatives.ORACLE,
 }
