@@ -50,11 +50,17 @@ VIEWS = {"obs": OBS, "readings": READINGS, "dirty": DIRTY, "sensors": SENSORS, "
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view on Spark; times without a zone are instants in the session's zone, UTC."""
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "supplier") if "{" + t + "}" in VIEWS[name]}
+    return derived(tables.get("events"), name, tables.get("supplier"))
+
+
+def derived(events: DataFrame | None, name: str, supplier: DataFrame | None = None) -> DataFrame:
+    """A derived view of given tables, which may be streams."""
     text = VIEWS[name].replace("{K}", "props_k")
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "supplier") if "{" + t + "}" in text}
+    tables = {n: t for n, t in (("events", events), ("supplier", supplier)) if t is not None}
     if "{K}" in VIEWS[name]:  # filters aren't pushed below an exploded column, so the JSON is parsed once a row, not once for each mention
         tables["events"] = tables["events"].select("*", F.explode(F.array(F.get_json_object("props", "$.k").cast("int"))).alias("props_k"))
-    df = spark.sql(text, **tables)
+    df = next(iter(tables.values())).sparkSession.sql(text, **tables)
     return df.withColumn("recorded_at", df["recorded_at"].cast("timestamp")) if "recorded_at" in df.columns else df
 
 

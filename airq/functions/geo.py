@@ -12,6 +12,14 @@ SALTS = 16
 AXIS, FLATTENING = 6378137.0, 1 / 298.257223563
 
 
+def free_name(name: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def which_city(lat: Column, lng: Column) -> Column:
     """The first city whose box holds the point, edges included; else null."""
     out = None
@@ -80,6 +88,28 @@ def radius_join(points: DataFrame, readings: DataFrame, radius: float) -> DataFr
     places = readings.where("latitude is not null and longitude is not null").select("latitude", "longitude").distinct()
     placed = places.withColumn("row", row(F.col("latitude"))).withColumn("column", F.floor(F.col("longitude") / wide(F.col("row"))).cast("int"))
     near = placed.join(cells, ["row", "column"]).withColumn("distance", distance(F.col("lat"), F.col("lng"), F.col("latitude"), F.col("longitude")))
-    near = near.where(F.col("distance") <= radius).drop("row", "column", "lat", "lng").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = readings.withColumn("_salt", F.pmod(F.xxhash64(*readings.columns), F.lit(SALTS)).cast("int"))
-    return salted.join(near, ["latitude", "longitude", "_salt"]).drop("_salt").select(*readings.columns, *[c for c in points.columns if c not in ("lat", "lng")], "distance")
+    salt = free_name("salt", readings, points)
+    near = near.where(F.col("distance") <= radius).drop("row", "column", "lat", "lng").withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = readings.withColumn(salt, F.pmod(F.xxhash64(*readings.columns), F.lit(SALTS)).cast("int"))
+    return salted.join(near, ["latitude", "longitude", salt]).drop(salt).select(*readings.columns, *[c for c in points.columns if c not in ("lat", "lng")], "distance")
+
+
+def register_radius_function(spark: SparkSession, view: str) -> None:
+    """The session's table function ``readings_within_radius(lat, lng, metres)`` over a view of readings: their columns and ``distance``."""
+    columns = [(f.name, f.dataType.simpleString()) for f in spark.table(view).schema.fields]
+    metres = _distance_sql("center_lat", "center_lng", "r.latitude", "r.longitude")
+    box = "r.latitude BETWEEN center_lat - metres / 110000D AND center_lat + metres / 110000D"
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION readings_within_radius(center_lat DOUBLE, center_lng DOUBLE, metres DOUBLE)
+      RETURNS TABLE({", ".join(f"`{n}` {t}" for n, t in columns)}, distance DOUBLE)
+      RETURN SELECT * FROM (SELECT {", ".join(f"r.`{n}`" for n, _ in columns)}, {metres} AS distance FROM {view} r WHERE {box}) WHERE distance <= metres""")
+
+
+def _distance_sql(lat1: str, lng1: str, lat2: str, lng2: str) -> str:
+    """``distance`` as SQL text."""
+    b1, b2 = (f"atan({1 - FLATTENING!r}D * tan(radians({x})))" for x in (lat1, lat2))
+    h = f"(pow(sin(({b2} - {b1}) / 2), 2) + cos({b1}) * cos({b2}) * pow(sin(radians({lng2} - {lng1}) / 2), 2))"
+    s = f"(2 * asin(least(1D, sqrt({h}))))"
+    p, q = f"(({b1} + {b2}) / 2)", f"(({b2} - {b1}) / 2)"
+    x = f"(({s} - sin({s})) * pow(sin({p}) * cos({q}) / cos({s} / 2), 2))"
+    y = f"(({s} + sin({s})) * pow(cos({p}) * sin({q}) / sin({s} / 2), 2))"
+    return f"CASE WHEN {s} = 0 THEN 0D ELSE {AXIS!r}D * ({s} - {FLATTENING / 2!r}D * ({x} + {y})) END"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import DEFAULT_SCALE, POLLUTANTS, TARGET_POLLUTANTS
 from ..functions import aqi, units
@@ -20,10 +22,14 @@ def canonical(observations: DataFrame) -> DataFrame:
     return named.withColumn("unit", units.canonical_unit(F.col("pollutant"))).withColumn("canonical_value", units.convert_to_canonical(F.col("pollutant"), F.col("value"), F.col("units")))
 
 
+def convertible() -> Column:
+    """Whether a row has a canonical value that is not negative."""
+    return F.coalesce(F.col("canonical_value") >= 0, F.lit(False))
+
+
 def drop_unconvertible(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What can be used, and what cannot (no canonical value, or a negative one), for quarantine."""
-    usable = F.coalesce(F.col("canonical_value") >= 0, F.lit(False))
-    return df.where(usable), df.where(~usable)
+    return df.where(convertible()), df.where(~convertible())
 
 
 def drop_bad_rows(df: DataFrame) -> DataFrame:
@@ -87,13 +93,15 @@ def union_readings(inserted: DataFrame, existing: DataFrame) -> DataFrame:
     return both.where("monitor_id is not null").groupBy(*INSTANT).agg(F.min_by("id", F.struct("rank", "id")).alias("id"))
 
 
-def link_measurements(placeholders: DataFrame, readings: DataFrame) -> DataFrame:
-    """Measurements with the ``reading_id`` of their monitor and instant; those without are dropped."""
-    return placeholders.join(readings.select(*INSTANT, F.col("id").alias("reading_id")), INSTANT, "inner").select("reading_id", "pollutant", "value", "unit")
+def link_measurements(placeholders: DataFrame, readings: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Measurements with the ``reading_id`` of their monitor and instant, and what to ``keep`` of their columns; those without a reading are dropped."""
+    return placeholders.join(readings.select(*INSTANT, F.col("id").alias("reading_id")), INSTANT, "inner").select("reading_id", "pollutant", "value", "unit", *keep)
 
 
-def recompute_composite(measurements: DataFrame, scale: str = DEFAULT_SCALE) -> DataFrame:
-    """Each reading's composite over its stored measurements."""
+def recompute_composite(measurements: DataFrame, scale: str = DEFAULT_SCALE, touched: DataFrame | None = None) -> DataFrame:
+    """Each reading's composite over its stored measurements; with ``touched(reading_id)`` only of the readings that it names."""
+    if touched is not None:
+        measurements = measurements.join(touched.select("reading_id").distinct(), "reading_id", "left_semi")
     return measurements.groupBy("reading_id").agg(F.max(aqi.sub_index(F.col("pollutant"), F.col("value"), scale)).alias("aqi_value"))
 
 

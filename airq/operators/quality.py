@@ -4,9 +4,18 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..config import POLLUTANTS, SOURCES
+from ..functions.geo import free_name
+
+
+#: Every reason that a rule of this module gives.
+REASONS = (
+    "user_id_missing", "aqi_value_missing", "latitude_missing", "longitude_missing", "source_missing", "recorded_at_missing", "reading_id_missing", "pollutant_missing", "value_missing", "unit_missing",
+    "aqi_range", "latitude_range", "longitude_range", "source_unknown", "recorded_in_future", "pollutant_unknown", "value_negative", "not_own", "source_not_user",
+)
 
 
 def _reasons(rules: dict[str, Column]) -> Column:
@@ -49,6 +58,31 @@ def split(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
     return validated.where("size(reasons) = 0").drop("reasons"), validated.where("size(reasons) > 0")
 
 
+def split_once(rows: DataFrame, good: Column, path: str, **metrics: Column) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Rows that are ``good`` and those that are not, parted by one write to ``path`` that evaluates them once, and counts.
+
+    The counts are observed while the rows are written: ``rows``, ``accepted``, ``rejected`` and whatever ``metrics`` (aggregates) are asked for.
+    """
+    side, ok = free_name("accepted", rows), F.coalesce(good, F.lit(False))
+    seen = Observation()
+    counts = {"rows": F.count("*"), "accepted": F.count_if(F.col(side)), "rejected": F.count_if(~F.col(side))} | metrics
+    rows.withColumn(side, ok).observe(seen, *[c.alias(n) for n, c in counts.items()]).write.partitionBy(side).parquet(path)
+    schema = StructType([*[StructField(f.name, f.dataType) for f in rows.schema.fields], StructField(side, BooleanType())])
+    stored = rows.sparkSession.read.schema(schema).parquet(path)
+    return stored.where(F.col(side)).drop(side), stored.where(~F.col(side)).drop(side), dict(seen.get)
+
+
+def split_validated(validated: DataFrame, path: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """As ``split``, by one write; the counts also say how many rows each reason rejects."""
+    names = [n for n, t in validated.dtypes if n == "reasons" and t == "array<string>"]
+    if not names:
+        raise ValueError("validate the rows first")
+    counts = {f"reason_{n}": F.count_if(F.array_contains("reasons", n)) for n in REASONS}
+    accepted, rejected, seen = split_once(validated, F.size("reasons") == 0, path, **counts)
+    told = {k: v for k, v in seen.items() if not k.startswith("reason_") or v}
+    return accepted.drop("reasons"), rejected, told
+
+
 def orphans(children: DataFrame, key: str, parents: DataFrame, parent_key: str = "id") -> DataFrame:
     """Children whose key is set and names no parent."""
     return children.where(F.col(key).isNotNull()).join(parents.select(F.col(parent_key).alias(key)), key, "left_anti")
@@ -78,5 +112,6 @@ def restrict_delete(monitors: DataFrame, readings: DataFrame) -> DataFrame:
 
 def retire_monitors(monitors: DataFrame, ids: DataFrame, as_of: datetime) -> DataFrame:
     """Monitors with those of ``ids(id)`` disabled, unless they were before."""
-    marked = monitors.join(ids.distinct().withColumn("_gone", F.lit(True)), "id", "left")
-    return marked.withColumn("disabled_at", F.when(F.col("_gone"), F.coalesce("disabled_at", F.lit(as_of))).otherwise(F.col("disabled_at"))).drop("_gone")
+    mark = free_name("gone", monitors)
+    marked = monitors.join(ids.select("id").distinct().withColumn(mark, F.lit(True)), "id", "left")
+    return marked.withColumn("disabled_at", F.when(F.col(mark), F.coalesce("disabled_at", F.lit(as_of))).otherwise(F.col("disabled_at"))).drop(mark)

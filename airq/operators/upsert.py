@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.geo import free_name
+
 KEY = ["monitor_id", "source", "recorded_at"]
 
 
@@ -14,24 +16,28 @@ def new_readings_only(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     grouped by that: they pass beside the deduplication.
     """
     keyed = incoming.where("monitor_id is not null and source is not null and recorded_at is not null")
-    first = keyed.withColumn("_place", F.row_number().over(Window.partitionBy(*KEY).orderBy("id"))).where("_place = 1").drop("_place")
+    place = free_name("place", incoming)
+    first = keyed.withColumn(place, F.row_number().over(Window.partitionBy(*KEY).orderBy("id"))).where(F.col(place) == 1).drop(place)
     new = first.join(existing.select(*KEY).where("monitor_id is not null"), KEY, "left_anti")
     return new.select(*incoming.columns).unionByName(incoming.where("monitor_id is null or source is null or recorded_at is null"))
 
 
 def new_measurements_only(incoming: DataFrame, existing: DataFrame) -> DataFrame:
+    """Incoming measurements without their reading and pollutant among the existing; of incoming ones of one key the largest."""
     keys = ["reading_id", "pollutant"]
-    one = incoming.groupBy(*keys).agg(F.max(F.struct("value", "unit")).alias("m")).select(*keys, "m.value", "m.unit")
+    others = ["value", "unit", *[c for c in incoming.columns if c not in (*keys, "value", "unit")]]
+    one = incoming.groupBy(*keys).agg(F.max(F.struct(*others)).alias("m")).select(*keys, *[f"m.{c}" for c in others])
     return one.join(existing.select(*keys), keys, "left_anti")
 
 
 def upsert_monitors(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """All monitors after the load: matched ones take the payload and keep what only the table knows."""
     kept = [c for c in existing.columns if c not in incoming.columns]
-    new = incoming.withColumn("_new", F.lit(True))
+    mark = free_name("new", incoming, existing)
+    new = incoming.withColumn(mark, F.lit(True))
     both = existing.alias("e").join(new.alias("n"), F.col("e.id") == F.col("n.id"), "full_outer")
     out = [F.coalesce("n.id", "e.id").alias("id")]
-    out += [F.when(F.col("n._new"), F.col(f"n.{c}")).otherwise(F.col(f"e.{c}")).alias(c) for c in incoming.columns if c != "id"]
+    out += [F.when(F.col(f"n.{mark}"), F.col(f"n.{c}")).otherwise(F.col(f"e.{c}")).alias(c) for c in incoming.columns if c != "id"]
     return both.select(*out, *[F.col(f"e.{c}") for c in kept])
 
 

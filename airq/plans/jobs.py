@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..config import TARGET_POLLUTANTS
 from ..functions import aqi, geo, present, units
 from ..operators import ingest, quality, readings as serve, stations as dims
-from ..sources import files
+from ..sources import files, store, tables
 
 
 def build_station_dimension(spark: SparkSession, pages_path: str, monitors: DataFrame, monitors_out: str, manifest_out: str, as_of: datetime) -> DataFrame:
@@ -23,36 +23,39 @@ def build_station_dimension(spark: SparkSession, pages_path: str, monitors: Data
     return dims.stations_per_city(stations)
 
 
+def candidates(observations: DataFrame) -> DataFrame:
+    """Target pollutants with a time and a value, in canonical units where they convert."""
+    return ingest.filter_target_pollutants(ingest.canonical(ingest.drop_bad_rows(observations)))
+
+
 def usable(observations: DataFrame) -> DataFrame:
-    """Target pollutants in canonical units, with a time and a value."""
-    kept, _ = ingest.drop_unconvertible(ingest.filter_target_pollutants(ingest.canonical(ingest.drop_bad_rows(observations))))
-    return kept
+    """Those of them that convert to a value that is not negative."""
+    return ingest.drop_unconvertible(candidates(observations))[0]
 
 
 def load(observations: DataFrame, root: str, user_id: str, dry_run: bool = False) -> DataFrame:
-    """Usable observations ``(monitor_id, recorded_at, lat, lon, ...)`` into the tables under ``root``; one row of counts."""
+    """Target observations in canonical units ``(monitor_id, recorded_at, pollutant, canonical_value, lat, lon)`` into the tables under ``root``; one row of counts.
+
+    One write evaluates the observations, parts what cannot be used from the rest and counts both; readings and measurements
+    are then one change of both tables.
+    """
     spark = observations.sparkSession
-    observations = files.settled(observations.select("monitor_id", "recorded_at", "pollutant", "canonical_value", "lat", "lon"))  # parsed once for all that follows
-    new_readings, new_measurements = ingest.build_readings(observations, user_id), ingest.build_measurements(observations)
+    columns = observations.select("monitor_id", "recorded_at", "pollutant", "canonical_value", "lat", "lon")
+    good, _, seen = quality.split_once(columns, ingest.convertible(), store.scratch(spark))
+    new_readings, new_measurements = ingest.build_readings(good, user_id), ingest.build_measurements(good)
     if dry_run:
-        return ingest.ingest_summary(new_readings, new_measurements)
-    existing = files.scan_table(spark, root, "readings")
-    touched = new_readings.select(F.min("recorded_at").alias("low"), F.max("recorded_at").alias("high")).first()
-    if touched.low is not None:
-        existing = existing.where(F.col("recorded_at").between(F.lit(touched.low), F.lit(touched.high)))
-    before = files.settled(existing.where("source = 'openaq'").select("monitor_id", "source", "recorded_at", "id"))
-    inserted = files.upsert_readings(new_readings, before, f"{root}/readings")
-    linked = ingest.link_measurements(new_measurements, ingest.union_readings(inserted, before))
-    old = files.scan_table(spark, root, "measurements")
-    added = files.upsert_measurements(linked, old.join(linked.select("reading_id").distinct(), "reading_id", "left_semi"), f"{root}/measurements")
-    return ingest.ingest_summary(inserted, added)
+        counts = ingest.ingest_summary(new_readings, new_measurements)
+    else:
+        inserted, added = files.upsert(new_readings, new_measurements, root)
+        counts = ingest.ingest_summary(inserted, added)
+    return counts.withColumns({"observations": F.lit(seen["rows"]).cast("long"), "rejected": F.lit(seen["rejected"]).cast("long")})
 
 
 def daily_backfill(spark: SparkSession, archive: str, manifest: str, root: str, day: date, user_id: str = "import", dry_run: bool = False) -> DataFrame:
     stations = files.read_manifest(spark, manifest).select(F.col("location_id").alias("locationid"), "monitor_id")
     known = [r[0] for r in stations.select("locationid").distinct().collect()]  # a row a station of the manifest
     rows = files.scan_archive(spark, archive, day, known).withColumn("recorded_at", units.parse_ts_lenient(F.col("datetime")))
-    return load(usable(ingest.attach_station(rows, stations, "locationid")), root, user_id, dry_run)
+    return load(candidates(ingest.attach_station(rows, stations, "locationid")), root, user_id, dry_run)
 
 
 def recent_observations(pages: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -64,27 +67,41 @@ def recent_observations(pages: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def ingest_recent(spark: SparkSession, landing: str, manifest: str, root: str, as_of: datetime, hours: int = 8, user_id: str = "import") -> DataFrame:
     rows = recent_observations(files.scan_api_measurements(spark, landing), files.read_manifest(spark, manifest))
-    return load(usable(serve.filter_since(rows, as_of, hours)), root, user_id)
+    return load(candidates(serve.filter_since(rows, as_of, hours)), root, user_id)
 
 
 def dashboard(readings: DataFrame, sources: Sequence[str] | None = None) -> dict[str, DataFrame]:
     """The newest thousand readings as markers, the ten newest as badges, the bounds and the count of what is shown."""
-    shown = serve.get_readings(readings, 1000, sources)
+    return _shown(serve.get_readings(readings, 1000, sources))
+
+
+def stored_dashboard(spark: SparkSession, root: str, sources: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    """As above over the stored tables: only the newest days are read, and once for all parts."""
+    return _shown(store.settled(tables.newest(spark, root, 1000, sources)))
+
+
+def _shown(shown: DataFrame) -> dict[str, DataFrame]:
     return {"markers": present.markers(shown), "recent": present.badges(serve.newest(shown, 10)), "bounds": serve.map_bounds(shown), "count": serve.reading_count(shown)}
 
 
 def timeline(readings: DataFrame, lat: float, lng: float, is_station: bool, sources: Sequence[str] | None = None) -> DataFrame:
-    """The series around a point: 5 km for a station, 10 km for an area."""
-    near = geo.readings_within_radius(readings, lat, lng, 5000.0 if is_station else 10000.0)
+    """The series around a point: 5 km for a station, 10 km for an area. Laid-out readings are read by the ranges of their places."""
+    within = tables.within_radius if "place" in readings.columns else geo.readings_within_radius
+    near = within(readings, lat, lng, 5000.0 if is_station else 10000.0)
     return present.series(serve.filter_sources(near, sources))
 
 
-def submit_readings(entries: DataFrame, submitter: str, as_of: datetime, path: str) -> tuple[DataFrame, DataFrame]:
-    """What a user typed ``(id, user_id, text, latitude, longitude, source, recorded_at)``: inserted rows, and rejected ones with reasons."""
-    typed = entries.withColumn("aqi_value", present.parse_user_aqi(F.col("text"))).withColumn("source", F.coalesce("source", F.lit("user")))
-    accepted, rejected = quality.split(quality.validate_entries(typed, submitter))
-    accepted, late = quality.split(quality.validate_readings(accepted.drop("text"), as_of))
-    return files.append_user_readings(accepted, path), rejected.drop("text").unionByName(late)
+def submit_readings(entries: DataFrame, submitter: str, as_of: datetime, root: str) -> tuple[DataFrame, DataFrame]:
+    """What a user typed ``(id, user_id, text, latitude, longitude, source, recorded_at)``: inserted rows, and rejected ones with all reasons against them.
+
+    Both kinds of rules are applied in one pass over the entries.
+    """
+    spark = entries.sparkSession
+    typed = entries.withColumn("aqi_value", present.parse_user_aqi(F.col("text"))).withColumn("source", F.coalesce("source", F.lit("user"))).drop("text")
+    own = quality.validate_entries(typed, submitter).withColumnRenamed("reasons", "entry_reasons")
+    both = quality.validate_readings(own, as_of).withColumn("reasons", F.array_distinct(F.concat("entry_reasons", "reasons"))).drop("entry_reasons")
+    accepted, rejected, _ = quality.split_validated(both, store.scratch(spark))
+    return files.append_user_readings(accepted, root), rejected
 
 
 def scale_comparison(spark: SparkSession, low: float = 0.0, high: float = 400.0, points: int = 500) -> DataFrame:

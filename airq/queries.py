@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .config import CATEGORIES, CITIES, COMPARED, DARK, POLLUTANTS, bands
-from .fixtures import duck, view
+from .fixtures import derived, duck, view
 from .functions import aqi, geo, present, units
 from .operators import ingest, quality, readings as serve, stations as dims, upsert
 from .plans import jobs
+from .sources import files, store, tables
+from .streaming.recent import whole_instants
 
 AS_OF = datetime(2024, 1, 30, 12)
 DAY = datetime(2024, 1, 15)
@@ -91,6 +94,26 @@ def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "readings")
 
 
+def _children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements of the readings: what their monitor's sensors say of their hour."""
+    keyed = _readings(spark, sf_dir).select(F.col("id").alias("reading_id"), "monitor_id", F.date_trunc("hour", "recorded_at").alias("recorded_at"), F.to_date("recorded_at").alias("day"))
+    found = _values_of(spark, sf_dir).join(keyed, ["monitor_id", "recorded_at"])
+    return found.select("reading_id", "pollutant", "value", units.canonical_unit(F.col("pollutant")).alias("unit"), "day")
+
+
+_CHILDREN = """, children AS (SELECT r.id AS reading_id, c.pollutant, c.value, CASE WHEN c.pollutant = 'co' THEN 'mg/m³' ELSE 'µg/m³' END AS unit
+  FROM readings r JOIN collapsed c ON c.monitor_id = r.monitor_id AND c.recorded_at = date_trunc('hour', r.recorded_at)) """
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> str:
+    """The readings and their measurements as stored tables in a folder of their own."""
+    root = store.scratch(spark)
+    tables.create(spark, root)
+    with store.locked(spark, root):
+        tables.put(spark, root, tables.laid_out(_readings(spark, sf_dir), "readings"), tables.laid_out(_children(spark, sf_dir), "measurements"))
+    return root
+
+
 @query("SELECT obs_id, pollutant FROM coded")
 def normalize_pollutant(spark, sf_dir):
     return view(spark, sf_dir, "obs").select("obs_id", units.normalize_pollutant(F.col("parameter")).alias("pollutant"))
@@ -371,11 +394,12 @@ def validate_entries(spark, sf_dir):
     return quality.validate_entries(rows, "me").select("event_id", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("SELECT source, count(*) AS n FROM readings WHERE aqi_value <= 150 GROUP BY source")
+@query(f"""{_CHILDREN} SELECT r.source, m.pollutant, count(*) AS n, round(sum(m.value), 4) AS total FROM readings r LEFT JOIN children m ON m.reading_id = r.id WHERE r.aqi_value <= 150 GROUP BY ALL""")
 def cascade_delete(spark, sf_dir):
     readings = _readings(spark, sf_dir)
-    left, _ = quality.cascade_delete(readings, readings.select(F.col("id").alias("reading_id")), readings.where("aqi_value > 150").select("id"))
-    return left.groupBy("source").agg(F.count("*").alias("n"))
+    left, children = quality.cascade_delete(readings, _children(spark, sf_dir), readings.where("aqi_value > 150").select("id"))
+    both = left.join(children.withColumnRenamed("reading_id", "id"), "id", "full_outer")  # full, so that a child that lost its parent would show
+    return both.groupBy("source", "pollutant").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query("SELECT DISTINCT monitor_id AS id FROM readings WHERE monitor_id < 6")
@@ -394,9 +418,9 @@ def user_monitors(spark, sf_dir):
     return serve.user_monitors(_readings(spark, sf_dir))
 
 
-@query("SELECT id, monitor_id, user_id FROM readings WHERE user_id = 7 AND monitor_id = 3")
+@query("SELECT id, monitor_id, user_id FROM readings WHERE user_id = 7 AND monitor_id = 7")
 def owned_by_monitor(spark, sf_dir):
-    return serve.matching(serve.owned_by(_readings(spark, sf_dir), 7), monitor_id=3).select("id", "monitor_id", "user_id")
+    return serve.matching(serve.owned_by(_readings(spark, sf_dir), 7), monitor_id=7).select("id", "monitor_id", "user_id")
 
 
 @query(r"SELECT event_id, CASE WHEN n BETWEEN 0 AND 500 THEN n END AS aqi_value FROM (SELECT event_id, TRY_CAST(nullif(regexp_extract(txt, '^\s*([+-]?\d+)', 1), '') AS INT) AS n FROM entries) a")
@@ -445,3 +469,111 @@ def source_labels(spark, sf_dir):
     from .config import SOURCE_LABELS
 
     return _readings(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n")).withColumn("label", present.display_label(F.col("source"), SOURCE_LABELS))
+
+
+# The stored tables
+
+
+@query(f", points(point_id, lat, lng) AS (VALUES (0, CAST(28.6139 AS DOUBLE), CAST(77.2090 AS DOUBLE))) SELECT id, round(metres, 2) AS distance FROM ({_FAR}) z WHERE metres <= 3000")
+def stored_within_radius(spark, sf_dir):
+    found = tables.within_radius(files.scan_table(spark, _stored(spark, sf_dir), "readings"), *DELHI, 3000.0)
+    return found.select(F.col("id").cast("long"), F.round("distance", 2).alias("distance"))
+
+
+@query(f"""{_CHILDREN} SELECT r.id, r.recorded_at, m.pollutant, m.unit, round(m.value, 6) AS value FROM (SELECT * FROM readings WHERE source IN ('openaq', 'government') ORDER BY recorded_at DESC, id LIMIT 1000) r
+  LEFT JOIN children m ON m.reading_id = r.id""")
+def stored_newest(spark, sf_dir):
+    """Ids are texts in the stored table; no two of its readings have one time, so their order does not show."""
+    found = tables.newest(spark, _stored(spark, sf_dir), 1000, ["openaq", "government"], nested=True)
+    return found.select(F.col("id").cast("long"), "recorded_at", F.inline_outer("measurements")).withColumn("value", F.round("value", 6))
+
+
+@query(f"""{_CHILDREN}, kept AS (SELECT * FROM readings WHERE NOT (aqi_value > 195 AND user_id % 3 = 0)) SELECT 'readings' AS name, source AS what, count(*) AS n FROM kept GROUP BY ALL
+  UNION ALL SELECT 'measurements', pollutant, count(*) FROM children WHERE reading_id IN (SELECT id FROM kept) GROUP BY ALL""")
+def stored_deletion(spark, sf_dir):
+    root = _stored(spark, sf_dir)
+    tables.delete_readings(spark, root, _readings(spark, sf_dir).where("aqi_value > 195 and user_id % 3 = 0").select("id"))
+    readings, measurements = (files.scan_table(spark, root, n) for n in ("readings", "measurements"))
+    of = [df.groupBy(F.lit(name).alias("name"), F.col(by).alias("what")).agg(F.count("*").alias("n")) for name, df, by in (("readings", readings, "source"), ("measurements", measurements, "pollutant"))]
+    return of[0].unionByName(of[1])
+
+
+@query(_MADE + """SELECT m.monitor_id, m.recorded_at, c.pollutant, round(c.value, 6) AS value, x.aqi_value FROM made m JOIN collapsed c USING (monitor_id, recorded_at)
+  JOIN (SELECT monitor_id, recorded_at, max(sub_index) AS aqi_value FROM indexed WHERE scale = 'naqi' AND pollutant IN ('pm25','pm10','no2','so2') GROUP BY ALL) x USING (monitor_id, recorded_at) WHERE c.pollutant IN ('pm25','pm10','no2','so2')""")
+def stored_loads(spark, sf_dir):
+    """Half of the stations first, then all of them: every reading and measurement is stored once."""
+    root = store.scratch(spark)
+    observed = jobs.candidates(view(spark, sf_dir, "obs").withColumn("monitor_id", F.col("location_id")))
+    for part in (observed.where("monitor_id % 2 = 0"), observed):
+        jobs.load(part, root, "import")
+    readings, measurements = (files.scan_table(spark, root, n) for n in ("readings", "measurements"))
+    both = readings.join(measurements.withColumnRenamed("reading_id", "id"), "id")
+    return both.select(F.col("monitor_id").cast("long"), "recorded_at", "pollutant", F.round("value", 6).alias("value"), "aqi_value")
+
+
+@query(f"""{_CHILDREN}, whole AS (SELECT m.reading_id, max(i.sub_index) AS fresh, bool_or(m.pollutant = 'pm25') AS named FROM children m JOIN readings r ON r.id = m.reading_id
+  JOIN indexed i ON i.scale = 'naqi' AND i.monitor_id = r.monitor_id AND i.recorded_at = date_trunc('hour', r.recorded_at) AND i.pollutant = m.pollutant GROUP BY m.reading_id)
+  SELECT r.id, CASE WHEN w.named THEN w.fresh ELSE r.aqi_value END AS aqi_value FROM readings r LEFT JOIN whole w ON w.reading_id = r.id""")
+def stored_rescore(spark, sf_dir):
+    """The readings that a batch of fine-particle measurements names get their composite over all their measurements."""
+    root = _stored(spark, sf_dir)
+    tables.rescore(spark, root, files.scan_table(spark, root, "measurements").where("pollutant = 'pm25'"))
+    return files.scan_table(spark, root, "readings").select(F.col("id").cast("long"), "aqi_value")
+
+
+@query(_MADE + "SELECT m.id AS reading_id, c.pollutant, c.value FROM made m JOIN collapsed c USING (monitor_id, recorded_at) WHERE c.pollutant IN ('pm25','pm10','no2','so2')")
+def bucketed_link(spark, sf_dir):
+    """The same link of two tables in buckets by monitor and instant, joined without a shuffle."""
+    built = jobs.usable(view(spark, sf_dir, "obs").withColumn("monitor_id", F.col("location_id")))
+    made = ingest.build_readings(built).select(F.concat_ws(":", "monitor_id", F.unix_timestamp("recorded_at")).alias("id"), *ingest.INSTANT)
+    name = f"bucketed_{uuid.uuid4().hex}"
+    readings, placed = (tables.bucketed(df, f"{name}_{part}", ingest.INSTANT, 16) for part, df in (("readings", made), ("measurements", ingest.build_measurements(built))))
+    return ingest.link_measurements(placed, readings).drop("unit")
+
+
+@query(f", points(point_id, lat, lng) AS (SELECT DISTINCT location_id, lat, lon FROM sensors WHERE lat IS NOT NULL) SELECT point_id, id FROM ({_FAR}) z WHERE metres <= 10000")
+def radius_function(spark, sf_dir):
+    """The radius join in SQL, by a table function that is called for every place of a table."""
+    readings, points = f"readings_{uuid.uuid4().hex}", f"points_{uuid.uuid4().hex}"
+    _readings(spark, sf_dir).createOrReplaceTempView(readings)
+    view(spark, sf_dir, "sensors").where("lat is not null").select("location_id", "lat", "lon").distinct().createOrReplaceTempView(points)
+    geo.register_radius_function(spark, readings)
+    return spark.sql(f"SELECT p.location_id AS point_id, r.id FROM {points} p, LATERAL readings_within_radius(p.lat, p.lon, 10000D) r")
+
+
+@query("""SELECT id, concat_ws(',', CASE WHEN aqi_value IS NULL THEN 'aqi_value_missing' END, CASE WHEN aqi_value NOT BETWEEN 0 AND 1000 THEN 'aqi_range' END, CASE WHEN latitude NOT BETWEEN -90 AND 90 THEN 'latitude_range' END,
+  CASE WHEN longitude NOT BETWEEN -180 AND 180 THEN 'longitude_range' END, CASE WHEN source NOT IN ('user', 'openaq', 'simulated', 'government') THEN 'source_unknown' END,
+  CASE WHEN recorded_at > TIMESTAMP '2024-01-30 13:00:00' THEN 'recorded_in_future' END) AS reasons FROM dirty""")
+def quarantine(spark, sf_dir):
+    """Accepted and rejected rows, parted by one write."""
+    accepted, rejected, _ = quality.split_validated(quality.validate_readings(view(spark, sf_dir, "dirty"), AS_OF), store.scratch(spark))
+    return accepted.select("id", F.lit("").alias("reasons")).unionByName(rejected.select("id", F.array_join("reasons", ",").alias("reasons")))
+
+
+@query("""SELECT i.monitor_id, i.recorded_at, max(i.sub_index) AS aqi_value FROM indexed i, (SELECT max(recorded_at) AS last FROM usable WHERE pollutant IN ('pm25','pm10','no2','so2')) t
+  WHERE scale = 'naqi' AND pollutant IN ('pm25','pm10','no2','so2') AND i.recorded_at <= t.last - INTERVAL 2 HOUR GROUP BY ALL""")
+def stream_composites(spark, sf_dir):
+    """Composites of a stream of events: the instants that the watermark has closed, two hours behind the newest."""
+    static = spark.read.parquet(f"{sf_dir}/events.parquet")
+    stream = spark.readStream.schema(static.schema).parquet(f"{sf_dir}/event[s].parquet")  # a glob, as the table may be a file or a folder
+    observed = jobs.candidates(derived(stream, "obs").withColumn("monitor_id", F.col("location_id")))
+    path = store.scratch(spark)
+    query = whole_instants(observed).writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return ingest.instants(spark.read.schema("monitor_id bigint, recorded_at timestamp, pollutant string, canonical_value double").parquet(f"{path}/rows")).select("monitor_id", "recorded_at", "aqi_value")
+
+
+@query("""SELECT r.id, c.label, c.color, c.dark = 1 AS dark FROM readings r JOIN cats c ON c.scale = 'epa' AND r.aqi_value BETWEEN c.lo AND c.hi""")
+def categories_join(spark, sf_dir):
+    """The bands as a dimension table."""
+    rows = F.broadcast(aqi.dim_categories(spark).where("scale = 'epa'"))  # six rows
+    return _readings(spark, sf_dir).join(rows, F.col("aqi_value").between(F.col("min"), F.col("max"))).select("id", "label", "color", "dark")
+
+
+@query("SELECT pollutant, CASE WHEN pollutant = 'co' THEN 'mg/m³' ELSE 'µg/m³' END AS unit, CASE pollutant WHEN 'pm25' THEN 'PM2.5' WHEN 'pm10' THEN 'PM10' WHEN 'o3' THEN 'Ozone (O₃)' WHEN 'no2' THEN 'Nitrogen Dioxide (NO₂)' WHEN 'so2' THEN 'Sulphur Dioxide (SO₂)' ELSE 'Carbon Monoxide (CO)' END AS label, count(*) AS n FROM collapsed GROUP BY ALL")
+def units_join(spark, sf_dir):
+    """Units as a dimension table, and the pollutants' labels."""
+    from .config import POLLUTANT_LABELS
+
+    counts = _values_of(spark, sf_dir).groupBy("pollutant").agg(F.count("*").alias("n"))
+    return counts.join(F.broadcast(aqi.dim_units(spark)), "pollutant").withColumn("label", present.display_label(F.col("pollutant"), POLLUTANT_LABELS))

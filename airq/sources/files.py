@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from datetime import date, datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators import ingest
 from ..operators.upsert import new_measurements_only, new_readings_only, upsert_monitors
+from . import store, tables
 
 ARCHIVE = "location_id bigint, sensors_id bigint, location string, datetime string, lat double, lon double, parameter string, units string, value double"
 MEASUREMENTS = (
@@ -23,16 +23,18 @@ MANIFEST = (
 
 
 def scan_archive(spark: SparkSession, base: str, day: date, location_ids: list[int] | None = None) -> DataFrame:
-    """Station-day files under ``locationid=/year=/month=``; file names are pruned to the day, and with ``location_ids`` only those stations' folders of the month are listed."""
+    """Station-day files under ``locationid=/year=/month=``; file names are pruned to the day, and with ``location_ids`` only those stations' folders of the month are listed.
+
+    A station without a folder of the month has no rows; a failure to read is an error.
+    """
     schema = f"{ARCHIVE}, locationid bigint, year int, month int"
     reader = spark.read.schema(schema).option("header", True).option("pathGlobFilter", f"*-{day:%Y%m%d}.csv.gz").option("basePath", base)
     month = f"year={day.year}/month={day.month:02d}"
     if location_ids is None:
         return reader.csv(base).where((F.col("year") == day.year) & (F.col("month") == day.month))
-    try:  # a glob, as stations without data in the month have no folder
-        return reader.csv(f"{base}/locationid={{{','.join(map(str, sorted(location_ids)))}}}/{month}")
-    except AnalysisException:  # none has
-        return spark.createDataFrame([], schema)
+    wanted = {str(k) for k in location_ids}
+    there = [p for p in store.folders(spark, f"{base}/locationid=*/{month}") if p.rsplit("locationid=", 1)[1].split("/")[0] in wanted]
+    return reader.csv(there) if there else spark.createDataFrame([], schema)
 
 
 def scan_api_measurements(spark: SparkSession, path: str) -> DataFrame:
@@ -45,57 +47,69 @@ def scan_locations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The current station manifest; ``FileNotFoundError`` if none was published yet."""
     try:
-        return spark.read.schema(MANIFEST).parquet(path)
-    except AnalysisException as e:
+        return store.current(spark, path, MANIFEST)
+    except FileNotFoundError as e:
         raise FileNotFoundError(f"no station manifest at {path}; build the station dimension first") from e
 
 
 def write_manifest(stations: DataFrame, path: str, as_of: datetime, pollutants: list[str]) -> None:
     head = {"generated_at": F.lit(as_of).cast("timestamp"), "source": F.lit("openaq"), "pollutants": F.lit(sorted(pollutants))}
-    stations.withColumns(head).write.mode("overwrite").parquet(path)
+    store.publish(stations.withColumns(head), path)
 
 
 def scan_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """One of ``readings``, ``measurements``, ``monitors``, ``profiles``."""
-    return spark.read.parquet(f"{root}/{name}")
+    """One of ``readings`` and ``measurements``, by day; ``monitors`` and other published tables in their current version."""
+    return tables.scan(spark, root, name) if name in tables.SCHEMAS else store.current(spark, f"{root}/{name}")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The rows as they are now, in the folder of ``spark.checkpoint.dir`` (our own where it is unset).
+def upsert_readings(new: DataFrame, root: str) -> DataFrame:
+    """Store readings whose key is new; returns the inserted ones only. Only the days that they touch are read and written."""
+    return upsert(new, None, root)[0]
 
-    A cached plan would be computed anew once a table that it reads is appended to.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="airq-checkpoint-"))
-    return df.checkpoint()
-
-
-def _append(df: DataFrame, path: str) -> DataFrame:
-    """Write rows and give back those rows, however often the caller reads them."""
-    held = settled(df)
-    held.write.mode("append").parquet(path)
-    return held
 
+def upsert_measurements(new: DataFrame, root: str) -> DataFrame:
+    """Store measurements ``(reading_id, pollutant, value, unit, day)`` whose reading has none of their pollutant; returns the inserted ones only."""
+    return upsert(None, new, root)[1]
 
-def upsert_readings(new: DataFrame, existing: DataFrame, path: str) -> DataFrame:
-    """Append readings whose key is new; returns the inserted ones only."""
-    return _append(new_readings_only(new, existing), path)
 
+def upsert(readings: DataFrame | None, measurements: DataFrame | None, root: str) -> tuple[DataFrame | None, DataFrame | None]:
+    """Both of the above as one change under one lock: a crash leaves both or neither.
 
-def upsert_measurements(new: DataFrame, existing: DataFrame, path: str) -> DataFrame:
-    return _append(new_measurements_only(new, existing), path)
+    Measurements without a ``reading_id`` but with ``monitor_id`` and ``recorded_at`` belong to the stored or inserted reading of
+    that monitor and instant; those without a reading are dropped.
+    """
+    spark = (readings if readings is not None else measurements).sparkSession
+    inserted = added = None
+    with store.locked(spark, root):
+        tables.create(spark, root)
+        tables.recover(spark, root)
+        if readings is not None:
+            readings = tables.laid_out(readings, "readings")
+            stored = tables.on_days(tables.scan(spark, root, "readings"), tables.days_of(readings))
+            inserted = store.settled(new_readings_only(readings, stored))
+        if measurements is not None and "reading_id" not in measurements.columns:
+            measurements = measurements.withColumn("day", F.to_date("recorded_at"))
+            stored = tables.on_days(tables.scan(spark, root, "readings"), tables.days_of(measurements)).where("source = 'openaq'")
+            known = stored.select(*ingest.INSTANT, "id")
+            known = known if inserted is None else ingest.union_readings(inserted, known)
+            measurements = ingest.link_measurements(measurements, known, ["day"])
+        if measurements is not None:
+            measurements = store.settled(tables.laid_out(measurements, "measurements"))  # joined once; asked for its days, then for its keys
+            old = tables.on_days(tables.scan(spark, root, "measurements"), tables.days_of(measurements))
+            added = store.settled(new_measurements_only(measurements, old))
+        tables.put(spark, root, inserted, added)
+    return inserted, added
 
 
 def write_monitors(new: DataFrame, existing: DataFrame, path: str) -> DataFrame:
-    """Insert or update into a fresh ``path``; never over what is read."""
-    upsert_monitors(new, existing).write.mode("errorifexists").parquet(path)
-    return new.sparkSession.read.parquet(path)
+    """Insert or update, and publish the result as the table's next version; ``existing`` may be its current one."""
+    return store.publish(upsert_monitors(new, existing), path)
 
 
-def append_user_readings(rows: DataFrame, path: str) -> DataFrame:
-    return _append(rows.withColumn("source", F.coalesce("source", F.lit("user"))), path)
+def append_user_readings(rows: DataFrame, root: str) -> DataFrame:
+    """Store what users submit, which has no key; gives back those rows, however often the caller reads them."""
+    held = store.settled(rows.withColumn("source", F.coalesce("source", F.lit("user"))))
+    tables.append_readings(held, root)
+    return held

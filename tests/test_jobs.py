@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from airq.functions import geo
 from airq.operators import quality, upsert
 from airq.plans import jobs
-from airq.sources import files
-from airq.streaming.recent import stream_recent
+from airq.sources import files, tables
 
 AS_OF = datetime(2024, 3, 2)
 READING = "id string, user_id string, monitor_id string, aqi_value int, latitude double, longitude double, source string, recorded_at timestamp"
@@ -20,8 +19,7 @@ READING = "id string, user_id string, monitor_id string, aqi_value int, latitude
 @pytest.fixture
 def place(spark, tmp_path):
     root = str(tmp_path)
-    spark.createDataFrame([], READING).write.parquet(f"{root}/readings")
-    spark.createDataFrame([], "reading_id string, pollutant string, value double, unit string").write.parquet(f"{root}/measurements")
+    tables.create(spark, root)
     page = {"results": [{"id": 7, "name": "A", "coordinates": {"latitude": 28.6, "longitude": 77.2}, "sensors": [{"id": 70, "parameter": {"name": "PM2.5"}}, {"id": 71, "parameter": {"name": "o3"}}, {"id": 72, "parameter": {"name": "no2"}}]},
                         {"id": 8, "name": "Far", "coordinates": {"latitude": 0.0, "longitude": 0.0}, "sensors": [{"id": 80, "parameter": {"name": "pm25"}}]}]}
     (tmp_path / "pages").mkdir()
@@ -41,24 +39,12 @@ def test_daily_backfill_twice(spark, place):
         with gzip.open(folder / f"location-7-{day}.csv.gz", "wt") as f:
             f.write("\n".join(rows))
     run = lambda **k: jobs.daily_backfill(spark, str(place / "records"), str(place / "manifest"), str(place), date(2024, 3, 1), **k).collect()
-    assert run(dry_run=True) == [(1, 1, 2)]
-    assert run() == [(1, 1, 2)]
-    assert run() == [(0, 0, 0)]
+    assert run(dry_run=True) == [(1, 1, 2, 5, 2)]
+    assert run() == [(1, 1, 2, 5, 2)]
+    assert run() == [(0, 0, 0, 5, 2)]
     assert spark.read.parquet(f"{place}/readings").select("aqi_value").collect() == [(151,)]
 
 
-def test_stream_equals_batch(spark, place, tmp_path):
-    landed = place / "landing"
-    landed.mkdir()
-    one = lambda v, t, **k: {"value": v, "period": {"datetimeFrom": {"utc": t}}, "parameter": {"units": "µg/m³"}} | k
-    pages = [{"sensor_id": 70, "results": [one(45.0, "2024-03-01T20:00:00Z"), one(45.0, "2024-03-01T20:00:00Z"), one(50.0, "")]}, {"sensor_id": 72, "results": [one(10.0, "2024-03-01T20:00:00Z")]}]
-    (landed / "a.json").write_text("\n".join(map(json.dumps, pages)))
-    for _ in range(2):
-        stream_recent(spark, str(landed), str(place / "manifest"), str(place), str(place / "checkpoint")).awaitTermination()
-    assert spark.read.parquet(f"{place}/readings").select("aqi_value").collect() == [(76,)]
-    assert jobs.ingest_recent(spark, str(landed), str(place / "manifest"), str(place), AS_OF).collect() == [(0, 0, 0)]
-
-
 def test_rows_without_monitor_never_conflict(spark):
     rows = [("a", "u", None, 1, 0.0, 0.0, "user", AS_OF), ("b", "u", None, 1, 0.0, 0.0, "user", AS_OF), ("c", "u", "m", 1, 0.0, 0.0, "user", AS_OF), ("d", "u", "m", 1, 0.0, 0.0, "user", AS_OF)]
     df = spark.createDataFrame(rows, READING)

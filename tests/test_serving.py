@@ -89,11 +89,11 @@ def test_jobs_of_users(spark, readings, tmp_path):
     assert sorted(ids(shown["markers"])) == ["b", "c"] and ids(shown["recent"]) == ["b", "c"] and shown["count"].first().n == 2 and shown["bounds"].first().south == 10.0
     entries = [("e1", "me", "42", 1.0, 1.0, None, AT), ("e2", "me", "x", 1.0, 1.0, None, AT), ("e3", "you", "7", 1.0, 1.0, None, AT), ("e4", "me", "7", 1.0, 1.0, None, AT.replace(day=9))]
     df = spark.createDataFrame(entries, "id string, user_id string, text string, latitude double, longitude double, source string, recorded_at timestamp")
-    path = f"{tmp_path}/readings"
-    inserted, rejected = jobs.submit_readings(df, "me", AT, path)
-    assert ids(inserted) == ["e1"] and sorted(ids(rejected)) == ["e2", "e3", "e4"] and ids(spark.read.parquet(path)) == ["e1"]
-    files.append_user_readings(readings.where("id = 'd'"), path)
-    assert {r.id: r.source for r in spark.read.parquet(path).collect()} == {"e1": "user", "d": "user"}
+    root = str(tmp_path)
+    inserted, rejected = jobs.submit_readings(df, "me", AT, root)
+    assert ids(inserted) == ["e1"] and sorted(ids(rejected)) == ["e2", "e3", "e4"] and ids(files.scan_table(spark, root, "readings")) == ["e1"]
+    files.append_user_readings(readings.where("id = 'd'"), root)
+    assert {r.id: r.source for r in files.scan_table(spark, root, "readings").collect()} == {"e1": "user", "d": "user"}
     assert {r.id: r.source for r in upsert.backfill_source(readings, "u2").collect()} == {"a": "user", "b": "openaq", "c": "openaq", "d": "openaq"}
     grid = jobs.scale_comparison(spark).collect()
     assert len(grid) == 500 and grid[0].concentration == 0 and grid[-1].concentration == 400 and grid[0].epa == 0
