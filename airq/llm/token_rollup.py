@@ -17,15 +17,16 @@ totals have no rows. Other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import base64
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import tiktoken
 from public_tokenizers import PATTERN
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..sources import store
 from .common import join_small, materialise, shared_dir
 from .packing import tokenizer
 
@@ -54,12 +55,14 @@ class Rollup:
 
     def folders(self) -> dict[str, str]:
         """The committed batches and their folders; a row for each commit is read, as small as a log is."""
-        try:
-            rows = self.spark.read.schema(LOG).parquet(f"{self.path}/log").groupBy("batch").agg(F.max(F.struct("number", "folder")).alias("last")).select("batch", "last.folder").collect()
-        except AnalysisException:  # nothing was committed yet
+        if not store.exists(self.spark, f"{self.path}/log"):  # nothing was committed yet
             return {}
+        rows = self._log().groupBy("batch").agg(F.max(F.struct("number", "folder")).alias("last")).select("batch", "last.folder").collect()
         return {r["batch"]: r["folder"] for r in rows}
 
+    def _log(self) -> DataFrame:
+        return self.spark.read.schema(LOG).parquet(f"{self.path}/log")
+
     def write(self, changes: DataFrame) -> str:
         """The summed changes in a folder that no batch has yet."""
         folder = uuid.uuid4().hex
@@ -67,13 +70,11 @@ class Rollup:
         return folder
 
     def commit(self, batch: str, changes: DataFrame) -> None:
-        """Add a batch of changes, or replace it."""
+        """Add a batch of changes, or replace it; of commits at once each gets a number of its own."""
         folder = self.write(changes)
-        try:
-            number = self.spark.read.schema(LOG).parquet(f"{self.path}/log").count()
-        except AnalysisException:
-            number = 0
-        self.spark.createDataFrame([(batch, folder, number)], LOG).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+        with store.locked(self.spark, self.path):
+            number = self._log().count() if store.exists(self.spark, f"{self.path}/log") else 0
+            self.spark.createDataFrame([(batch, folder, number)], LOG).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
 
     def totals(self) -> DataFrame:
         """``source, lang, tokenizer, documents, tokens`` of the groups that still hold documents."""
@@ -96,6 +97,24 @@ def encoding(path: str) -> tiktoken.Encoding:
     return _loaded[path]
 
 
+#: White space of the pattern (fixed values), in runs longer than a pattern matcher's stack should bear.
+LONG_SPACE = re.compile(r"[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
+
+
+def token_count(bytes_: tiktoken.Encoding, text: str) -> int:
+    """How many ids ``encode_ordinary`` gives, which overflows its stack on very long runs of white space.
+
+    The pattern makes one piece of a run that ends a text; of any other run all but the last character are one piece, and the
+    last belongs to what follows. So a long run can be cut there and encoded by itself.
+    """
+    total, at = 0, 0
+    for run in LONG_SPACE.finditer(text):
+        stop = run.end() if run.end() == len(text) else run.end() - 1
+        total += len(bytes_.encode_ordinary(text[at : run.start()])) + len(bytes_._encode_single_piece(text[run.start() : stop]))
+        at = stop
+    return total + len(bytes_.encode_ordinary(text[at:]))
+
+
 def _counter(first: str, second: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, bytes_ = tokenizer(first), encoding(second)
@@ -103,7 +122,7 @@ def _counter(first: str, second: str) -> Callable[[Iterator[pa.RecordBatch]], It
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts = [t or "" for t in part.column(0).to_pylist()]
-                old, new = [len(ids) for ids in words.encode(texts)], [len(bytes_.encode_ordinary(t)) for t in texts]
+                old, new = [len(ids) for ids in words.encode(texts)], [token_count(bytes_, t) for t in texts]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(old, pa.int64()), pa.array(new, pa.int64())], names=[*batch.schema.names[1:], "old", "new"])
 
     return count

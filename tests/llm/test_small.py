@@ -413,3 +413,32 @@ def test_token_counts(spark, docs, texts):
             true[r.source, r.lang] = n + 1, total + len(encoding.encode_ordinary(r.text or ""))
     got = {(r.source, r.lang): (r.documents, r.tokens) for r in token_rollup.maintained(docs.withColumn("key", F.lit(1)), TOKENIZER, BYTES).collect()}
     assert got == true
+
+
+def test_long_white_space_is_counted_whole(spark, monkeypatch):
+    bytes_ = token_rollup.encoding(BYTES)
+    rng = random.Random(6)
+    texts = ["", " ", "\n" * 30] + ["".join(rng.choice([" " * rng.randint(1, 9), "\n \t" * rng.randint(1, 4), "\x1c\x1f", "\u00a0\u2003" * 4, "word", "12", "!?", "'s", "é"]) for _ in range(rng.randint(1, 30))) for _ in range(400)]
+    monkeypatch.setattr(token_rollup, "LONG_SPACE", re.compile(token_rollup.LONG_SPACE.pattern.replace("4096", "3")))
+    assert [token_rollup.token_count(bytes_, t) for t in texts] == [len(bytes_.encode_ordinary(t)) for t in texts]
+    monkeypatch.undo()
+    long = [" " * 1_000_000, "\n" * 1_000_000, "a" + " \n\t" * 400_000 + "b", "x " + " " * 1_500_000 + "'s y" + "\n" * 10_000]
+    table = spark.createDataFrame([(k, t, "s", "en") for k, t in enumerate(long)], "doc_id long, text string, source string, lang string")
+    got = {r.tokenizer: r.tokens for r in token_rollup.maintained(table, TOKENIZER, BYTES).collect()}
+    plain = [len(bytes_._encode_single_piece(t)) for t in long[:2]]
+    assert got["bytes-2"] == sum(token_rollup.token_count(bytes_, t) for t in long) and [token_rollup.token_count(bytes_, t) for t in long[:2]] == plain
+
+
+def test_commits_at_once_get_their_own_numbers(spark):
+    import threading
+
+    rollup = token_rollup.Rollup(spark)
+    empty = F.lit(None).cast("struct<source: string, lang: string, tokenizer: string, tokens: bigint>")
+    changes = spark.range(10).select(empty.alias("before"), F.struct(F.lit("s").alias("source"), F.lit("en").alias("lang"), F.lit("v").alias("tokenizer"), F.col("id").alias("tokens")).alias("after"))
+    threads = [threading.Thread(target=rollup.commit, args=(f"b{k}", changes)) for k in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(r.number for r in rollup._log().collect()) == [0, 1, 2, 3]
+    assert [(r.documents, r.tokens) for r in rollup.totals().collect()] == [(40, 180)]
