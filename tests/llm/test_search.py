@@ -69,17 +69,20 @@ def test_search_of_nothing(spark, corpus):
         assert found.columns == ["item_id", "rank", "doc_id", "score"] and found.isEmpty()
 
 
-def lists(rng, documents, terms):
-    sizes = rng.integers(1, terms, documents)
+def lists(rng, documents, terms, alike):
+    """Impacts at random, or in orders that are alike in all lists."""
+    sizes = rng.integers(1, terms, documents) if not alike else np.full(documents, terms)
     held = np.concatenate([np.sort(rng.choice(terms, s, replace=False)) for s in sizes])
-    return lexical.Index(np.arange(documents), sizes, held, rng.integers(1, 12, len(held)), terms)
+    impacts = np.repeat(np.arange(documents), sizes) + rng.integers(1, 60, len(held)) if alike else rng.integers(1, 12, len(held))
+    return lexical.Index(rng.permutation(documents), sizes, held, impacts, terms)
 
 
-def test_best_positions_stop_no_later_and_lose_nothing():
+def test_best_positions_stop_no_later_and_lose_nothing(monkeypatch):
+    monkeypatch.setattr(lexical, "STEP", 2)
     rng = np.random.default_rng(2)
     earlier = 0
-    for _ in range(200):
-        index = lists(rng, 400, 6)
+    for k in range(200):
+        index = lists(rng, 400, 6, k % 2)
         wanted = np.sort(rng.choice(6, rng.integers(1, 6), replace=False))
         depths, results = [], []
         for tight in (True, False):
@@ -216,7 +219,7 @@ def judged():
 
 
 def test_quality(spark, judged):
-    odd = [(5000, None), (5001, ""), (5002, "\n\n"), (None, judged[1][1]), (5003, "word " * 400_000), (5004, "\n".join(["A line of words."] * 30_000)), (1, judged[1][1])]
+    odd = [(5000, None), (5001, ""), (5002, "\n\n"), (None, judged[1][1]), (5003, "\n".join([bad_line(random.Random(1), prose(random.Random(9)), 1)] * 20_000)), (5004, "\n".join(["A line of words."] * 30_000)), (1, judged[1][1])]
     docs = spark.createDataFrame([(k, t, 1.5) for k, t, _ in judged] + [(*o, 1.5) for o in odd], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(k, q) for k, _, q in judged] + [(k, None) for k in (1, 2)] + [(5001, 7), (None, 0)], "doc_id long, quality int")
     found = quality.score(docs, quality.train(docs, labels)).collect()
