@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import contextlib
+import os
 import tempfile
 import time
 import uuid
 from collections.abc import Iterator
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 #: Seconds to wait for a lock, and the age from which a lock is taken for one of a dead process.
@@ -88,17 +90,37 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _claim(spark: SparkSession, path: str) -> bool:
+    """Create a file that must not exist yet, in one step; whether it was created."""
+    system = _system(spark, path)
+    if system.getUri().getScheme() == "file":  # Hadoop's local file system looks first and creates afterwards
+        try:
+            os.close(os.open(_path(spark, path).toUri().getPath(), os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+        except FileExistsError:
+            return False
+        return True
+    if system.exists(_path(spark, path)):
+        return False
+    try:
+        system.create(_path(spark, path), False).close()
+    except Py4JJavaError:
+        if system.exists(_path(spark, path)):  # another writer was first
+            return False
+        raise
+    return True
+
+
 @contextlib.contextmanager
 def locked(spark: SparkSession, root: str, wait: float = WAIT, stale: float = STALE) -> Iterator[None]:
     """Exclusive use of ``root`` among all writers that ask for it, by a file that only one of them can create.
 
-    The file system must create files atomically, as HDFS and local ones do. A lock older than ``stale`` seconds is broken;
+    The file system must refuse to create a file twice, as HDFS and local ones do. A lock older than ``stale`` seconds is broken;
     ``TimeoutError`` after ``wait`` seconds.
     """
     path, until = f"{root}/_lock", time.monotonic() + wait
     system = _system(spark, root)
     make(spark, root)
-    while not system.createNewFile(_path(spark, path)):
+    while not _claim(spark, path):
         with contextlib.suppress(Exception):  # the owner may delete it between both calls
             if time.time() - system.getFileStatus(_path(spark, path)).getModificationTime() / 1000 > stale:
                 remove(spark, path)

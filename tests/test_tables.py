@@ -4,6 +4,8 @@ import math
 import random
 import shutil
 import threading
+import time
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 
 import pytest
@@ -143,7 +145,19 @@ def _made(spark, seed):
 
 
 def test_locks(spark, tmp_path):
-    root = str(tmp_path)
+    root, held = str(tmp_path), []
+
+    def use():
+        for _ in range(10):
+            with store.locked(spark, root, wait=60):
+                held.append(1)
+                assert len(held) == 1
+                time.sleep(0.002)
+                held.pop()
+
+    with ThreadPoolExecutor(6) as pool:
+        for done in [pool.submit(use) for _ in range(6)]:
+            done.result()
     with store.locked(spark, root):
         with pytest.raises(TimeoutError), store.locked(spark, root, wait=0.3):
             pass
