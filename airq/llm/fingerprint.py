@@ -1,68 +1,155 @@
-"""Document fingerprints by consistent weighted sampling; DataFrame functions only.
+"""Document fingerprints by consistent weighted sampling with gamma draws.
 
-A text's terms are its pairs of neighbouring words (white space parts words; the last word stands alone),
-weighted by how often they occur. A term of weight w is its units (term, 1) to (term, w); of all units, each of
-``samples`` places samples one, a term with a probability in proportion to its weight, and the same one wherever the
-weights are the same. Two texts agree in a place with the probability of the generalised Jaccard similarity of their
-weights, as the sum of the lesser and of the greater weights is the size of the units' intersection and union.
+A text's terms are its pairs of neighbouring words (white space parts words; the last word stands alone), weighted by how often
+they occur. For each term and each of ``SAMPLES`` places there are two gamma draws of shape 2, r and c, and a uniform
+one, b, all by hash and so the same in every text. A term of weight w stands in a place at the step t = floor(ln w / r + b) of
+a grid of logarithms, with the value ln c - r (t - b + 1); the place's sample is the term and step of the smallest value.
+Two texts agree in a place with the probability of the generalised Jaccard similarity of their weights, which may be
+fractions: the sum of the lesser weights over that of the greater ones (Ioffe's method).
 
-All places are drawn in one pass: a round's hash of a unit gives it a place and a value there, and a place's sample is
-the unit of the earliest round, then of the smallest value. Later rounds only fill places that earlier ones left
-empty, so a text takes as many as it needs for that (fast similarity sketching), long texts a single one.
+Draws are made for a few documents at once, for every distinct term and weight among their texts and their edited texts once.
+A text's terms are read in parts, so its length is not bounded.
 
 Null and empty texts are one empty term and so have equal fingerprints. A null id comes before all others.
 Documents stand by id; where an id has several texts, each is fingerprinted, and the one of the smallest
 hash is the predecessor's next text. Rows that repeat whole give as many equal rows. An empty table gives none.
+Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import materialise, partitions, settings
+from .common import materialise, partitions
 
 SAMPLES = 128
-#: Draws for each place, less the logarithm of their number: e^-12 places are left empty.
-SURE = 12
-#: Units of a term that are made at once.
-UNITS = 4096
-#: Partitions of texts for each of the session's shuffle partitions.
-SPREAD = 4
+#: Terms of documents that are drawn for at once, words of a text that are read at once, and words whose hashes a worker remembers.
+TERMS, WORDS, CACHE = 32_768, 1 << 18, 1 << 20
+#: Terms whose draws are in hand at once, so that they stay in a processor's cache.
+ROWS = 128
 #: Stands for a null id; smaller than all others.
 NO_ID = -(1 << 63)
 
-
-def with_terms(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """``texts(*keys, text)`` to ``keys, term``: the hash of each word pair of a text, as often as it occurs."""
-    words = texts.select(*keys, F.split("text", r"[\x20\x09-\x0D]+").alias("words"))  # a column, so that lambdas read it
-    pairs = words.select(*keys, F.arrays_zip(F.col("words").alias("a"), F.expr("slice(words, 2, size(words))").alias("b")).alias("pairs"))
-    return pairs.select(*keys, F.inline("pairs").alias("a", "b")).select(*keys, F.xxhash64("a", "b").alias("term"))
-
-
-def samples(weighted: DataFrame, keys: list[str], count: int = SAMPLES) -> DataFrame:
-    """``weighted(*keys, term, weight, units)`` to ``keys, place, packed``: a group's sample in each place.
-
-    ``units`` is the sum of the group's weights. The high bits hold the round, the low 51 bits the value, of which the
-    last 32 name the sample, so the smallest of these longs is the sample and a plain, mergeable ``min`` finds it.
-    """
-    draws = math.ceil(count * (math.log(count) + SURE))
-    spans = weighted.withColumn("span", F.expr(f"explode(sequence(0L, (weight - 1) div {UNITS}))"))
-    units = spans.withColumn("unit", F.expr(f"explode(sequence(span * {UNITS} + 1, least(weight, (span + 1) * {UNITS})))"))
-    units = units.selectExpr(*keys, "xxhash64(term, unit) AS h", f"({draws} + units - 1) div units AS rounds")
-    drawn = units.selectExpr(*keys, "h", "explode(sequence(0L, rounds - 1)) AS round").selectExpr(*keys, "round", "xxhash64(h, round) AS h")
-    drawn = drawn.selectExpr(*keys, f"int((h & 8191) % {count}) AS place", "shiftleft(round, 51) | shiftrightunsigned(h, 13) AS packed")
-    return drawn.groupBy(*keys, "place").agg(F.min("packed").alias("packed"))
-
-
-def prints(drawn: DataFrame, keys: list[str], count: int = SAMPLES) -> DataFrame:
-    """``drawn(*keys, place, packed)`` to ``keys, marks``: 32 bits a place; a place left empty has the earliest sample of all."""
-    found = drawn.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("place", "packed"))).alias("found"))
-    full = "transform(found, x -> int(x.packed << 32 >> 32))"
-    every = "array_min(transform(found, x -> x.packed))"
-    part = f"transform(sequence(0, {count - 1}), k -> int(coalesce(get(filter(found, x -> x.place = k), 0).packed, {every}) << 32 >> 32))"
-    return found.selectExpr(*keys, f"CASE WHEN size(found) = {count} THEN {full} ELSE {part} END AS marks")
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A hash of 64-bit numbers, in place."""
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def _unit(bits: np.ndarray) -> np.ndarray:
+    """Numbers between 0 and 1, neither included, of 23 bits each."""
+    return (bits.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-23)
+
+
+def keys(terms: np.ndarray, weights: np.ndarray, count: int = SAMPLES) -> np.ndarray:
+    """For each term of a weight and each place a 64-bit key: the value, in an order that whole numbers keep, then 32 bits that name term and step."""
+    out = np.empty((len(terms), count), np.uint64)
+    places = mix(np.arange(1, count + 1, dtype=np.uint64) * _ODD)
+    low = np.uint64((1 << 23) - 1)
+    logs = np.log(weights).astype(np.float32)
+    for at in range(0, len(terms), ROWS):
+        h = mix(terms[at : at + ROWS, None] ^ places)
+        g = mix(h + _ODD)
+        r = -np.log(_unit(h >> np.uint64(41)) * _unit((h >> np.uint64(18)) & low))
+        value = np.log(-np.log(_unit(g >> np.uint64(41)) * _unit((g >> np.uint64(18)) & low)))
+        b = (((h & np.uint64(0xFFF)) << np.uint64(12)) | (g & np.uint64(0xFFF))).astype(np.float32) * np.float32(2.0**-24)
+        t = np.floor(logs[at : at + ROWS, None] / r + b)
+        value -= r * (t - b + np.float32(1))
+        bits = value.view(np.uint32)
+        bits ^= np.where(bits >> np.uint32(31), np.uint32(0xFFFFFFFF), np.uint32(0x80000000))
+        name = (h ^ (g >> np.uint64(7))) + t.astype(np.int64).astype(np.uint64) * _ODD
+        out[at : at + ROWS] = (bits.astype(np.uint64) << np.uint64(32)) | (name >> np.uint64(32))
+    return out
+
+
+def marks(terms: np.ndarray, weights: np.ndarray, count: int = SAMPLES) -> np.ndarray:
+    """A weighted set's sample in each place, as 32 bits."""
+    return keys(terms, weights, count).min(axis=0).astype(np.uint32)
+
+
+class Words:
+    """Words' hashes, remembered for a while."""
+
+    def __init__(self):
+        self.held: dict[bytes, int] = {}
+
+    def hashes(self, words: list[bytes]) -> np.ndarray:
+        if len(self.held) > CACHE:
+            self.held.clear()
+        held = self.held
+        for word in set(words) - held.keys():
+            held[word] = xxhash.xxh3_64_intdigest(word)
+        return np.fromiter(map(held.__getitem__, words), np.uint64, len(words))
+
+    def terms(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """A text's terms and how often they occur."""
+        found, last, at = [], None, 0
+        while at < len(text) or not found:
+            stop = at + 8 * WORDS
+            while stop < len(text) and text[stop] not in b" \t\n\v\f\r":
+                stop += 1
+            words = self.hashes(text[at:stop].split())
+            at = stop
+            if last is not None:
+                words = np.concatenate([last, words])
+            last = words[-1:]
+            found.append(mix(mix(words[:-1].copy()) * _ODD + words[1:]))
+        found.append(mix(mix(last.copy()) * _ODD + np.uint64(1)) if len(last) else np.ones(1, np.uint64))
+        return np.unique(np.concatenate(found), return_counts=True)
+
+
+def _printer(count: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``id, hash, edited_sha256, text, edited`` (texts in UTF-8) to the first three and both texts' marks."""
+
+    def of_group(sets: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        """The marks of some weighted sets; draws are made once for equal terms of equal weights."""
+        terms, weights = (np.concatenate(x) for x in zip(*sets, strict=True))
+        _, first, place = np.unique(terms + weights.astype(np.uint64) * _ODD, return_index=True, return_inverse=True)
+        best = [np.full(count, np.iinfo(np.uint64).max) for _ in sets]
+        ends = np.cumsum([len(t) for t, _ in sets])
+        for low in range(0, len(first), TERMS):  # several parts only where a single text is that long
+            drawn = keys(terms[first[low : low + TERMS]], weights[first[low : low + TERMS]], count)
+            for k, end in enumerate(ends):
+                here = place[end - len(sets[k][0]) : end] - low
+                here = here if len(first) <= TERMS else here[(here >= 0) & (here < len(drawn))]
+                for part in range(0, len(here), 4096):
+                    np.minimum(best[k], drawn[here[part : part + 4096]].min(axis=0), out=best[k])
+        return [b.astype(np.uint32).view(np.int32) for b in best]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+
+        def finish(rows: list[tuple[int, int, str]], sets: list) -> pa.RecordBatch:
+            found = of_group(sets)
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)]
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, len(rows) * count + 1, count, dtype=np.int32)), pa.array(np.concatenate(found[k::2]))) for k in (0, 1)]
+            return pa.RecordBatch.from_arrays([*columns, *lists], names=["id", "hash", "edited_sha256", "marks", "edited_marks"])
+
+        rows, sets, size = [], [], 0
+        for batch in batches:
+            for k in range(batch.num_rows):
+                rows.append(tuple(batch.column(c)[k].as_py() for c in range(3)))
+                sets += [words.terms(batch.column(c)[k].as_py() or b"") for c in (3, 4)]
+                size += len(sets[-1][0]) + len(sets[-2][0])
+                if size >= TERMS:
+                    yield finish(rows, sets)
+                    rows, sets, size = [], [], 0
+        if rows:
+            yield finish(rows, sets)
+
+    return run
 
 
 def next_documents(ids: DataFrame) -> DataFrame:
@@ -95,24 +182,12 @@ def fingerprints(docs: DataFrame, count: int = SAMPLES) -> DataFrame:
     whole = base
     if not rows.where("rows > 1").isEmpty():  # costs one more shuffle of the texts, so only where rows do repeat
         whole = base.dropDuplicates(["id", "hash"])
-    # joined by id alone, so that the texts' one shuffle by id serves here and below
-    heads = whole.join(places.hint("shuffle_hash"), "id").where("(hash ^ first_hash) = 0").select(F.col("id_before").alias("id"), F.expr("left(text, int(wanted))").alias("head"))
-    n, half = F.char_length("text"), F.expr("char_length(text) div 2").cast("int")
+    heads = whole.join(places, "id").where("(hash ^ first_hash) = 0").select(F.col("id_before").alias("id"), F.expr("left(text, int(wanted))").alias("head"))
     edited = F.concat(F.expr("left(text, char_length(text) - int(char_length(text) div 2))"), F.expr("left(head, int(char_length(text) div 2))"))
-    both = whole.join(heads.hint("shuffle_hash"), "id").select("id", "hash", "text", edited.alias("edited"))
-    digests = both.select("id", "hash", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-
-    variants = both.select("id", "hash", F.expr("stack(2, 0, text, 1, edited) AS (variant, text)"))
-    variants = variants.withColumn("units", F.expr(r"bigint(size(split(text, '[\\x20\\x09-\\x0D]+')))"))
-    weighted = with_terms(variants, ["id", "hash", "variant", "units"]).groupBy("id", "hash", "variant", "term").agg(F.count("*").alias("weight"), F.first("units").alias("units"))
-    drawn = prints(samples(weighted, ["id", "hash", "variant"], count), ["id", "hash", "variant"], count)
-    drawn = drawn.groupBy("id", "hash").agg(F.first(F.when(F.col("variant") == 0, F.col("marks")), True).alias("marks"), F.first(F.when(F.col("variant") == 1, F.col("marks")), True).alias("edited_marks"))
-    # a text's pairs take far more room than the text, so smaller partitions than usual keep them in memory;
-    # being dealt by id, the parts of a document's row need not be dealt again to join by id and hash
-    spark = docs.sparkSession
-    with settings(spark, spark__sql__shuffle__partitions=str(SPREAD * partitions(spark)), spark__sql__adaptive__coalescePartitions__enabled="false", spark__sql__requireAllClusterKeysForCoPartition="false"):
-        known = drawn.join(digests, ["id", "hash"]).join(rows, ["id", "hash"]).join(places.select("id", "first_hash", "id_before"), "id")
-        signed = materialise(known.withColumn("first", F.col("hash") == F.col("first_hash")).drop("first_hash"), "signed")
+    both = whole.join(heads, "id").select("id", "hash", F.col("text").cast("binary").alias("text"), edited.cast("binary").alias("edited"))
+    drawn = both.select("id", "hash", F.sha2("edited", 256).alias("edited_sha256"), "text", "edited").mapInArrow(_printer(count), "id long, hash long, edited_sha256 string, marks array<int>, edited_marks array<int>")
+    known = materialise(drawn, "drawn").join(rows, ["id", "hash"]).join(places.select("id", "first_hash", "id_before"), "id")
+    signed = materialise(known.withColumn("first", F.col("hash") == F.col("first_hash")).drop("first_hash"), "signed")
 
     following = signed.where("first").select(F.col("id_before").alias("id"), F.col("marks").alias("next_marks"))
     out = signed.join(following, "id")

@@ -143,10 +143,47 @@ def test_fingerprint_accuracy(spark, none):
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
 
 
-def test_fingerprint_with_an_empty_place(spark):
-    drawn = spark.createDataFrame([(1, k, (7 + k << 32) + k) for k in range(128) if k != 5], "id long, place int, packed long")
-    marks = fingerprint.prints(drawn, ["id"]).first().marks
-    assert marks == [0 if k == 5 else k for k in range(128)]
+def test_samples_agree_as_often_as_weights_say():
+    """Fractional weights against exact generalised Jaccard, place by place over many places."""
+    rng = np.random.default_rng(7)
+    for scale in (1e-3, 1.0, 50.0):
+        terms = rng.integers(0, 1 << 63, 60).astype(np.uint64)
+        a = rng.gamma(0.5, scale, 60) * (rng.random(60) < 0.8)
+        b = np.where(rng.random(60) < 0.5, a, a * rng.uniform(0.2, 3, 60)) * (rng.random(60) < 0.9)
+        exact = np.minimum(a, b).sum() / np.maximum(a, b).sum()
+        got = [fingerprint.marks(terms[w > 0], w[w > 0], 8192) for w in (a, b)]
+        assert abs((got[0] == got[1]).mean() - exact) < 0.02
+        # a term is sampled in proportion to its weight
+        drawn = fingerprint.keys(terms[a > 0], a[a > 0], 8192).argmin(axis=0)
+        assert np.abs(np.bincount(drawn, minlength=(a > 0).sum()) / 8192 - a[a > 0] / a.sum()).max() < 0.02
+
+
+def test_draws_follow_their_laws():
+    """A weight's smallest value is an exponential one of that rate."""
+    for w in (0.3, 1.0, 7.5):
+        key = fingerprint.keys(np.arange(1, 200, dtype=np.uint64) * np.uint64(7919), np.full(199, w), 256)
+        bits = (key >> np.uint64(32)).astype(np.uint32)
+        value = np.exp(np.where(bits >> np.uint32(31), bits ^ np.uint32(0x80000000), ~bits).astype(np.uint32).view(np.float32).astype(float)).ravel()
+        assert abs(value.mean() * w - 1) < 0.03 and abs((value * w < 0.1).mean() - 0.0952) < 0.005 and abs((value * w < 2).mean() - 0.8647) < 0.01
+
+
+def test_terms_in_parts(monkeypatch):
+    rng = random.Random(3)
+    texts = ["", "  ", "one", "one two", " a b\tc\n\na b ", words(rng, 700)]
+    whole = [fingerprint.Words().terms(t.encode()) for t in texts]
+    monkeypatch.setattr(fingerprint, "WORDS", 1)
+    parts = [fingerprint.Words().terms(t.encode()) for t in texts]
+    assert all((a == b).all() for x, y in zip(whole, parts, strict=True) for a, b in zip(x, y, strict=True))
+    counts = [Counter(zip(w, [*w[1:], None])).total() or 1 for w in (t.split() for t in texts)]
+    assert [int(c.sum()) for _, c in whole] == counts and (whole[0][0] == whole[1][0]).all()
+    monkeypatch.setattr(fingerprint, "TERMS", 50)  # draws in parts as well
+    run = fingerprint._printer(128)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(range(6)), pa.array(["x"] * 6), pa.array([t.encode() for t in texts]), pa.array([t.encode() for t in texts[::-1]])], names=list("abcde"))
+    got = [r for b in run(iter([batch])) for r in b.to_pylist()]
+    plain = [fingerprint.marks(t, c.astype(float)).view(np.int32).tolist() for t, c in whole]
+    assert [r["marks"] for r in got] == plain and [r["edited_marks"] for r in got] == plain[::-1]
 
 
 def embeddings(spark, rows):
