@@ -6,6 +6,7 @@ import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 BROADCAST_ROWS = 50_000
 
 #: Folders of the tables written so far.
-_written: list[str] = []
+_written: ContextVar[list[str]] = ContextVar("written", default=[])  # noqa: B039  one list for all that open none of their own
 
 #: Salts used to spread a hot key when the small side is too large to broadcast.
 SALTS = 32
@@ -42,18 +43,42 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there, whoever is lost."""
     spark = df.sparkSession
     folder = f"{shared_dir(spark)}/airq-{uuid.uuid4().hex}"
-    _written.append(folder)
+    _written.get().append(folder)
     df.write.option("compression", "zstd").parquet(f"{folder}/{tag}")
     return spark.read.schema(df.schema).parquet(f"{folder}/{tag}")
 
 
-def discard(spark: SparkSession) -> None:
-    """Delete every table that was written here so far; call it once the results that read them have been written."""
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+@contextlib.contextmanager
+def own_tables() -> Iterator[list[str]]:
+    """Collect the folders of the tables that are written within, apart from those of other callers."""
+    token = _written.set([])
+    try:
+        yield _written.get()
+    finally:
+        _written.reset(token)
+
+
+def discard(spark: SparkSession, folders: list[str] | None = None, keep: int = 0) -> None:
+    """Delete the tables of some folders, or all that were written so far, but the last ``keep``; call it once the results that read them have been written."""
+    folders = _written.get() if folders is None else folders
+    gone = folders[: len(folders) - keep]
+    del folders[: len(gone)]
+    for folder in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let no more rows than these go to a Python worker at once, from now on in this session.
+
+    By default 10,000 do, whole texts of which take tens of megabytes several times over: in the JVM, on the way and in the
+    worker. No result depends on it, so it isn't set back.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def row_hash(df: DataFrame) -> Column:
     """A hash of whole rows; maps, which Spark doesn't hash, go by their text."""
     return F.xxhash64(*[F.to_json(F.struct(_named(f.name))) if "map<" in f.dataType.simpleString() else _named(f.name) for f in df.schema.fields])
