@@ -37,18 +37,17 @@ def load(observations: DataFrame, root: str, user_id: str, dry_run: bool = False
     """Target observations in canonical units ``(monitor_id, recorded_at, pollutant, canonical_value, lat, lon)`` into the tables under ``root``; one row of counts.
 
     One write evaluates the observations, parts what cannot be used from the rest and counts both; readings and measurements
-    are then one change of both tables.
+    are then one change of both tables. What was written aside is deleted at the end.
     """
     spark = observations.sparkSession
     columns = observations.select("monitor_id", "recorded_at", "pollutant", "canonical_value", "lat", "lon")
-    good, _, seen = quality.split_once(columns, ingest.convertible(), store.scratch(spark))
-    new_readings, new_measurements = ingest.build_readings(good, user_id), ingest.build_measurements(good)
-    if dry_run:
-        counts = ingest.ingest_summary(new_readings, new_measurements)
-    else:
-        inserted, added = files.upsert(new_readings, new_measurements, root)
-        counts = ingest.ingest_summary(inserted, added)
-    return counts.withColumns({"observations": F.lit(seen["rows"]).cast("long"), "rejected": F.lit(seen["rejected"]).cast("long")})
+    with store.cleaned(spark):
+        good, _, seen = quality.split_once(columns, ingest.convertible(), store.scratch(spark))
+        new_readings, new_measurements = ingest.build_readings(good, user_id), ingest.build_measurements(good)
+        if not dry_run:
+            new_readings, new_measurements = files.upsert(new_readings, new_measurements, root)
+        counts = ingest.ingest_summary(new_readings, new_measurements).first()
+    return spark.createDataFrame([(*counts, seen["rows"], seen["rejected"])], "stations long, readings long, measurements long, observations long, rejected long")
 
 
 def daily_backfill(spark: SparkSession, archive: str, manifest: str, root: str, day: date, user_id: str = "import", dry_run: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ import tempfile
 import time
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -78,9 +79,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found or context.getCheckpointDir()
 
 
+#: The scratch paths of the ``cleaned`` block that the caller is in.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/airq-{uuid.uuid4().hex}"
+    """A new path in the shared folder; within ``cleaned`` it is deleted at the end, else it is the caller's."""
+    path = f"{shared_dir(spark)}/airq-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what is written aside within; nothing that reads it may leave the block."""
+    token = _made.set([])
+    try:
+        yield
+    finally:
+        made = _made.get()
+        _made.reset(token)
+        for path in made:
+            remove(spark, path)
 
 
 def settled(df: DataFrame) -> DataFrame:

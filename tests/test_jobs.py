@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from airq.functions import geo
 from airq.operators import quality, upsert
 from airq.plans import jobs
-from airq.sources import files, tables
+from airq.sources import files, store, tables
 
 AS_OF = datetime(2024, 3, 2)
 READING = "id string, user_id string, monitor_id string, aqi_value int, latitude double, longitude double, source string, recorded_at timestamp"
@@ -42,6 +42,11 @@ def test_daily_backfill_twice(spark, place):
     assert run(dry_run=True) == [(1, 1, 2, 5, 2)]
     assert run() == [(1, 1, 2, 5, 2)]
     assert run() == [(0, 0, 0, 5, 2)]
+    with store.cleaned(spark):
+        left = store.scratch(spark)
+        store.write_text(spark, f"{left}/x", "")
+        assert store.exists(spark, left)
+    assert not store.exists(spark, left)
     assert spark.read.parquet(f"{place}/readings").select("aqi_value").collect() == [(151,)]
 
 

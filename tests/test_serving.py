@@ -1,5 +1,6 @@
 """Entry points and operators that no registered query shows: order, lookups, own rows, deletions, jobs of users."""
 
+import json
 from datetime import datetime
 
 import pytest
@@ -101,3 +102,44 @@ def test_jobs_of_users(spark, readings, tmp_path):
 
 def test_archive_without_the_day(spark, tmp_path):
     assert files.scan_archive(spark, str(tmp_path), AT.date(), [1, 2]).count() == 0
+
+
+def test_every_path_of_a_measurement(spark):
+    """Times and units stand in different places of different pages; the first that is filled holds."""
+    from airq.sources.files import MEASUREMENTS
+
+    said = [
+        {"value": 1.0, "period": {"datetimeFrom": {"utc": "2024-01-01T01:00:00Z"}}, "datetime": {"utc": "2024-01-01T02:00:00Z"}, "parameter": {"units": "ppb"}, "unit": "ppm"},
+        {"value": 2.0, "period": {"datetimeFrom": {"utc": ""}}, "datetime": {"utc": "2024-01-01T02:00:00Z"}, "date": {"utc": "2024-01-01T03:00:00Z"}, "parameter": {"units": ""}, "unit": "ppm"},
+        {"value": 3.0, "date": {"utc": "2024-01-01T03:00:00Z"}, "unit": "µg/m³"},
+        {"value": 4.0, "datetime": {"utc": "no time"}},
+    ]
+    pages = spark.read.schema(MEASUREMENTS).json(spark.sparkContext.parallelize([json.dumps({"sensor_id": 1, "results": said})]))
+    got = {r.value: (r.units, r.recorded_at.hour if r.recorded_at else None) for r in ingest.flatten_pages(pages).collect()}
+    assert got == {1.0: ("ppb", 1), 2.0: ("ppm", 2), 3.0: ("µg/m³", 3), 4.0: ("", None)}
+
+
+def test_labels_and_dimensions(spark):
+    from airq.config import CATEGORIES, DARK, POLLUTANT_LABELS, POLLUTANTS, SCALE_LABELS, SOURCE_LABELS
+
+    codes = spark.createDataFrame([("naqi", "co", "user"), ("none", "none", "none"), (None, None, None)], "scale string, pollutant string, source string")
+    got = codes.select(present.display_label(F.col("scale"), SCALE_LABELS), present.display_label(F.col("pollutant"), POLLUTANT_LABELS), present.display_label(F.col("source"), SOURCE_LABELS)).collect()
+    assert [tuple(r) for r in got] == [("India NAQI", "Carbon Monoxide (CO)", "User Entries"), (None,) * 3, (None,) * 3]
+    assert {r.pollutant: r.unit for r in aqi.dim_units(spark).collect()} == {p: "mg/m³" if p == "co" else "µg/m³" for p in POLLUTANTS}
+    rows = aqi.dim_categories(spark).collect()
+    assert [(r.label, r.color, r.min, r.max) for r in rows if r.scale == "epa"] == list(CATEGORIES["epa"]) and all(r.dark == (r.label in DARK[r.scale]) for r in rows)
+    assert aqi.dim_breakpoints(spark).count() == 72
+    # a value's category by joining the dimension is the one by expression
+    values = spark.range(0, 1001).select(F.col("id").cast("int").alias("v"))
+    joined = values.join(aqi.dim_categories(spark).where("scale = 'naqi'"), F.col("v").between(F.col("min"), F.col("max")))
+    assert joined.count() == 1001 and joined.where(F.col("label") != aqi.label(F.col("v"))).isEmpty() and joined.where(F.when(F.col("dark"), "#ffffff").otherwise("#000000") != aqi.text_color(F.col("v"))).isEmpty()
+
+
+def test_an_archive_s_failure_is_an_error(spark, tmp_path):
+    """A station without a folder has no rows; a file that can't be read is no reason to report none."""
+    folder = tmp_path / "locationid=1/year=2024/month=01"
+    folder.mkdir(parents=True)
+    (folder / "location-1-20240101.csv.gz").write_bytes(b"no gzip")
+    assert files.scan_archive(spark, str(tmp_path), AT.date(), [2]).count() == 0
+    with pytest.raises(Exception, match="(?i)gzip|header"):
+        files.scan_archive(spark, str(tmp_path), AT.date(), [1, 2]).collect()

@@ -214,7 +214,7 @@ def test_bloom_filters_skip_row_groups(spark, tmp_path):
         F.sha2(F.col("id").cast("string"), 256).alias("id"), F.concat(F.lit("u"), (F.col("id") / 100).cast("int").cast("string")).alias("user_id"), F.lit("m").alias("monitor_id"), F.lit(1).alias("aqi_value"),
         (F.col("id") % 180 - 90.0).alias("latitude"), F.lit(5.0).alias("longitude"), F.lit("openaq").alias("source"), F.lit(AT).alias("recorded_at"),
     )
-    small = {"parquet.block.size": str(256 << 10), "parquet.bloom.filter.expected.ndv#id": "4000"}
+    small = {"parquet.block.size": str(256 << 10)}
     tables.write(tables.laid_out(rows, "readings"), "readings", f"{tmp_path}/readings", **small)
     table = tables.scan(spark, str(tmp_path), "readings")
     wanted = rows.where("latitude = 17").first()
