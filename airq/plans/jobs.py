@@ -45,7 +45,8 @@ def load(observations: DataFrame, root: str, user_id: str, dry_run: bool = False
         good, _, seen = quality.split_once(columns, ingest.convertible(), store.scratch(spark))
         new_readings, new_measurements = ingest.build_readings(good, user_id), ingest.build_measurements(good)
         if not dry_run:
-            new_readings, new_measurements = files.upsert(new_readings, new_measurements, root)
+            days = tables.days_of(good.select(F.to_date("recorded_at").alias("day")))
+            new_readings, new_measurements = files.upsert(new_readings, new_measurements, root, days)
         counts = ingest.ingest_summary(new_readings, new_measurements).first()
     return spark.createDataFrame([(*counts, seen["rows"], seen["rejected"])], "stations long, readings long, measurements long, observations long, rejected long")
 

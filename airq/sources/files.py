@@ -74,11 +74,12 @@ def upsert_measurements(new: DataFrame, root: str) -> DataFrame:
     return upsert(None, new, root)[1]
 
 
-def upsert(readings: DataFrame | None, measurements: DataFrame | None, root: str) -> tuple[DataFrame | None, DataFrame | None]:
+def upsert(readings: DataFrame | None, measurements: DataFrame | None, root: str, days: list[date | None] | None = None) -> tuple[DataFrame | None, DataFrame | None]:
     """Both of the above as one change under one lock: a crash leaves both or neither.
 
     Measurements without a ``reading_id`` but with ``monitor_id`` and ``recorded_at`` belong to the stored or inserted reading of
-    that monitor and instant; those without a reading are dropped.
+    that monitor and instant; those without a reading are dropped. ``days`` may name all days of the rows, where they are
+    known for less than it takes to work out the rows.
     """
     spark = (readings if readings is not None else measurements).sparkSession
     inserted = added = None
@@ -87,17 +88,17 @@ def upsert(readings: DataFrame | None, measurements: DataFrame | None, root: str
         tables.recover(spark, root)
         if readings is not None:
             readings = tables.laid_out(readings, "readings")
-            stored = tables.on_days(tables.scan(spark, root, "readings"), tables.days_of(readings))
+            stored = tables.on_days(tables.scan(spark, root, "readings"), days or tables.days_of(readings))
             inserted = store.settled(new_readings_only(readings, stored))
         if measurements is not None and "reading_id" not in measurements.columns:
             measurements = measurements.withColumn("day", F.to_date("recorded_at"))
-            stored = tables.on_days(tables.scan(spark, root, "readings"), tables.days_of(measurements)).where("source = 'openaq'")
+            stored = tables.on_days(tables.scan(spark, root, "readings"), days or tables.days_of(measurements)).where("source = 'openaq'")
             known = stored.select(*ingest.INSTANT, "id")
             known = known if inserted is None else ingest.union_readings(inserted, known)
             measurements = ingest.link_measurements(measurements, known, ["day"])
         if measurements is not None:
             measurements = store.settled(tables.laid_out(measurements, "measurements"))  # joined once; asked for its days, then for its keys
-            old = tables.on_days(tables.scan(spark, root, "measurements"), tables.days_of(measurements))
+            old = tables.on_days(tables.scan(spark, root, "measurements"), days or tables.days_of(measurements))
             added = store.settled(new_measurements_only(measurements, old))
         tables.put(spark, root, inserted, added)
     return inserted, added

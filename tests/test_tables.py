@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from airq.functions import geo, places
 from airq.operators import ingest, quality, readings as serve, upsert
+from airq.plans import jobs
 from airq.sources import files, store, tables
 
 AT = datetime(2024, 5, 1)
@@ -259,6 +260,21 @@ def test_newest_reads_only_the_days_that_it_needs(spark, stored):
     assert rows_of(nested) == rows_of(serve.get_readings(table.drop("place", "day"), 30, None, files.scan_table(spark, stored, "measurements")))
 
 
+def test_the_dashboard_of_stored_tables(spark, stored):
+    table = files.scan_table(spark, stored, "readings").drop("place", "day")
+    for sources in (None, ["openaq"], []):
+        a, b = jobs.stored_dashboard(spark, stored, sources), jobs.dashboard(table, sources)
+        assert a.keys() == b.keys() and all(rows_of(a[k]) == rows_of(b[k]) for k in a)
+    assert rows_of(jobs.timeline(files.scan_table(spark, stored, "readings"), 28.3, 77.3, False)) == rows_of(jobs.timeline(table, 28.3, 77.3, False))
+
+
+def test_times_between_read_their_days_alone(spark, stored):
+    table = files.scan_table(spark, stored, "readings")
+    start, end = AT + timedelta(days=2, hours=5), AT + timedelta(days=3, hours=4)
+    found = tables.between(table, start, end)
+    assert rows_of(found) == rows_of(serve.filter_time_range(table, start, end)) and scanned(found)[0] == 2
+
+
 def _files(df):
     """The files of the partitions that a plan's scans select."""
     out = []
