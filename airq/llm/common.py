@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Rows up to which a small side (a few dozen bytes a row) may be broadcast.
@@ -79,6 +81,20 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that gives unused memory back to the system at the end; a worker that is used again keeps it otherwise."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):  # where the C library has no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def row_hash(df: DataFrame) -> Column:
     """A hash of whole rows; maps, which Spark doesn't hash, go by their text."""
     return F.xxhash64(*[F.to_json(F.struct(_named(f.name))) if "map<" in f.dataType.simpleString() else _named(f.name) for f in df.schema.fields])

@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import materialise, partitions
+from .common import materialise, partitions, tidy
 
 SEQ_LEN = 2048
 END_ID = 1
@@ -124,7 +124,7 @@ def _cutter(path: str, seq_len: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
                     rows += [(doc_id, s, min(seq_len, len(ids) - s), zlib.crc32(ids[s : s + seq_len].tobytes()), len(ids)) for s in range(0, len(ids), seq_len)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return cut
+    return tidy(cut)
 
 
 def cut_documents(docs: DataFrame, tokenizer_path: str, seq_len: int = SEQ_LEN) -> DataFrame:
