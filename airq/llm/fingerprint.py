@@ -89,8 +89,9 @@ class Words:
         if len(self.held) > CACHE:
             self.held.clear()
         held = self.held
-        for word in set(words) - held.keys():
-            held[word] = xxhash.xxh3_64_intdigest(word)
+        for word in set(words):
+            if word not in held:
+                held[word] = xxhash.xxh3_64_intdigest(word)
         return np.fromiter(map(held.__getitem__, words), np.uint64, len(words))
 
     def terms(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
