@@ -31,7 +31,7 @@ SAMPLES = 128
 #: Terms of documents that are drawn for at once, words of a text that are read at once, and words whose hashes a worker remembers.
 TERMS, WORDS, CACHE = 32_768, 1 << 18, 1 << 20
 #: Terms whose draws are in hand at once, so that they stay in a processor's cache.
-ROWS = 128
+ROWS = 512
 #: Stands for a null id; smaller than all others.
 NO_ID = -(1 << 63)
 
@@ -48,30 +48,63 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _unit(bits: np.ndarray) -> np.ndarray:
-    """Numbers between 0 and 1, neither included, of 23 bits each."""
-    return (bits.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-23)
+def _gamma(bits: np.ndarray, out: np.ndarray, room: np.ndarray, other: np.ndarray) -> None:
+    """Gamma draws of shape 2, negated, into ``out``: the logarithm of two numbers between 0 and 1, neither included, of the upper 23 bits each."""
+    for shift, to in ((41, out), (18, other)):
+        np.right_shift(bits, np.uint64(shift), out=room)
+        np.bitwise_and(room, np.uint64((1 << 23) - 1), out=room)
+        np.copyto(to, room.view(np.int64), casting="unsafe")
+        to += np.float32(0.5)
+    out *= other
+    out *= np.float32(2.0**-46)
+    np.log(out, out=out)
 
 
 def keys(terms: np.ndarray, weights: np.ndarray, count: int = SAMPLES) -> np.ndarray:
-    """For each term of a weight and each place a 64-bit key: the value, in an order that whole numbers keep, then 32 bits that name term and step."""
-    out = np.empty((len(terms), count), np.uint64)
+    """For each term of a weight and each place a 64-bit key: the value, in an order that whole numbers keep, then 32 bits that name term and step.
+
+    Everything is worked out in place, which takes half the time.
+    """
+    keyed = np.empty((len(terms), count), np.uint64)
     places = mix(np.arange(1, count + 1, dtype=np.uint64) * _ODD)
-    low = np.uint64((1 << 23) - 1)
     logs = np.log(weights).astype(np.float32)
+    out_, room_, r_, b_, value_ = (np.empty((min(ROWS, len(terms)), count), t) for t in (np.uint64, np.uint64, np.float32, np.float32, np.float32))
+    order = np.argsort(logs != 0, kind="stable")  # most terms occur once; they need no step
     for at in range(0, len(terms), ROWS):
-        h = mix(terms[at : at + ROWS, None] ^ places)
-        g = mix(h + _ODD)
-        r = -np.log(_unit(h >> np.uint64(41)) * _unit((h >> np.uint64(18)) & low))
-        value = np.log(-np.log(_unit(g >> np.uint64(41)) * _unit((g >> np.uint64(18)) & low)))
-        b = (((h & np.uint64(0xFFF)) << np.uint64(12)) | (g & np.uint64(0xFFF))).astype(np.float32) * np.float32(2.0**-24)
-        t = np.floor(logs[at : at + ROWS, None] / r + b)
-        value -= r * (t - b + np.float32(1))
+        here = order[at : at + ROWS]
+        log = logs[here, None]
+        out, room, r, b, value = (x[: len(here)] for x in (out_, room_, r_, b_, value_))
+        h = mix(terms[here, None] ^ places)
+        g = h >> np.uint64(29)
+        g ^= h
+        g *= _ODD
+        np.right_shift(g, np.uint64(32), out=room)
+        g ^= room
+        _gamma(h, r, room, b)  # -r
+        _gamma(g, value, room, b)
+        np.negative(value, out=value)
+        np.log(value, out=value)  # ln c
+        np.bitwise_and(h, np.uint64((1 << 18) - 1), out=room)
+        np.copyto(b, room.view(np.int64), casting="unsafe")
+        b *= np.float32(2.0**-18)
+        g >>= np.uint64(32)
+        b -= np.float32(1)
+        if log.any():
+            t = np.floor(b + np.float32(1) - log / r)
+            g += (t.astype(np.int64).astype(np.uint64) * _ODD) >> np.uint64(32)
+            g &= np.uint64(0xFFFFFFFF)
+            b -= t
+        b *= r
+        value -= b  # ln c - r (t - b + 1)
         bits = value.view(np.uint32)
-        bits ^= np.where(bits >> np.uint32(31), np.uint32(0xFFFFFFFF), np.uint32(0x80000000))
-        name = (h ^ (g >> np.uint64(7))) + t.astype(np.int64).astype(np.uint64) * _ODD
-        out[at : at + ROWS] = (bits.astype(np.uint64) << np.uint64(32)) | (name >> np.uint64(32))
-    return out
+        sign = value.view(np.int32) >> np.int32(31)
+        sign |= np.int32(-(1 << 31))
+        bits ^= sign.view(np.uint32)
+        np.copyto(out, bits)
+        out <<= np.uint64(32)
+        out |= g
+        keyed[here] = out
+    return keyed
 
 
 def marks(terms: np.ndarray, weights: np.ndarray, count: int = SAMPLES) -> np.ndarray:
