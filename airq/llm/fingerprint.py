@@ -19,6 +19,7 @@ Other columns are ignored, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ SAMPLES = 128
 TERMS, WORDS, CACHE = 32_768, 1 << 18, 1 << 20
 #: Terms whose draws are in hand at once, so that they stay in a processor's cache.
 ROWS = 512
+#: Bits of the table that r is taken from.
+GAMMA_BITS = 14
 #: Stands for a null id; smaller than all others.
 NO_ID = -(1 << 63)
 
@@ -48,8 +51,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _gamma(bits: np.ndarray, out: np.ndarray, room: np.ndarray, other: np.ndarray) -> None:
-    """Gamma draws of shape 2, negated, into ``out``: the logarithm of two numbers between 0 and 1, neither included, of the upper 23 bits each."""
+@cache
+def gamma_table() -> np.ndarray:
+    """Quantiles of the gamma distribution of shape 2, in the middle of ``2**GAMMA_BITS`` equal parts, by Newton's steps."""
+    q = (np.arange(1 << GAMMA_BITS) + 0.5) / (1 << GAMMA_BITS)
+    x = np.sqrt(2 * q) - np.log1p(-q)
+    for _ in range(60):
+        x = np.maximum(x - (1 - (1 + x) * np.exp(-x) - q) / (x * np.exp(-x)), x / 4)
+    return x.astype(np.float32)
+
+
+def _log_gamma(bits: np.ndarray, out: np.ndarray, room: np.ndarray, other: np.ndarray) -> None:
+    """The logarithm of gamma draws of shape 2 into ``out``: of less the logarithm of two numbers between 0 and 1, of the upper 23 bits each."""
     for shift, to in ((41, out), (18, other)):
         np.right_shift(bits, np.uint64(shift), out=room)
         np.bitwise_and(room, np.uint64((1 << 23) - 1), out=room)
@@ -58,6 +71,8 @@ def _gamma(bits: np.ndarray, out: np.ndarray, room: np.ndarray, other: np.ndarra
     out *= other
     out *= np.float32(2.0**-46)
     np.log(out, out=out)
+    np.negative(out, out=out)
+    np.log(out, out=out)
 
 
 def keys(terms: np.ndarray, weights: np.ndarray, count: int = SAMPLES) -> np.ndarray:
@@ -67,7 +82,7 @@ def keys(terms: np.ndarray, weights: np.ndarray, count: int = SAMPLES) -> np.nda
     """
     keyed = np.empty((len(terms), count), np.uint64)
     places = mix(np.arange(1, count + 1, dtype=np.uint64) * _ODD)
-    logs = np.log(weights).astype(np.float32)
+    logs, table = np.log(weights).astype(np.float32), gamma_table()
     out_, room_, r_, b_, value_ = (np.empty((min(ROWS, len(terms)), count), t) for t in (np.uint64, np.uint64, np.float32, np.float32, np.float32))
     order = np.argsort(logs != 0, kind="stable")  # most terms occur once; they need no step
     for at in range(0, len(terms), ROWS):
@@ -80,22 +95,21 @@ def keys(terms: np.ndarray, weights: np.ndarray, count: int = SAMPLES) -> np.nda
         g *= _ODD
         np.right_shift(g, np.uint64(32), out=room)
         g ^= room
-        _gamma(h, r, room, b)  # -r
-        _gamma(g, value, room, b)
-        np.negative(value, out=value)
-        np.log(value, out=value)  # ln c
+        np.right_shift(h, np.uint64(64 - GAMMA_BITS), out=room)
+        np.take(table, room.view(np.int64), out=r, mode="clip")
+        _log_gamma(g, value, room, b)  # ln c, whose small values decide, so it comes from no table
         np.bitwise_and(h, np.uint64((1 << 18) - 1), out=room)
         np.copyto(b, room.view(np.int64), casting="unsafe")
         b *= np.float32(2.0**-18)
         g >>= np.uint64(32)
         b -= np.float32(1)
         if log.any():
-            t = np.floor(b + np.float32(1) - log / r)
+            t = np.floor(b + np.float32(1) + log / r)
             g += (t.astype(np.int64).astype(np.uint64) * _ODD) >> np.uint64(32)
             g &= np.uint64(0xFFFFFFFF)
             b -= t
         b *= r
-        value -= b  # ln c - r (t - b + 1)
+        value += b  # ln c - r (t - b + 1)
         bits = value.view(np.uint32)
         sign = value.view(np.int32) >> np.int32(31)
         sign |= np.int32(-(1 << 31))
