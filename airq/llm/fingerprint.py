@@ -2,7 +2,7 @@
 
 A text's terms are its pairs of neighbouring words (white space parts words; the last word stands alone), weighted by how often
 they occur. For each term and each of ``SAMPLES`` places there are two gamma draws of shape 2, r and c, and a uniform
-one, b, all by hash and so the same in every text. A term of weight w stands in a place at the step t = floor(ln w / r + b) of
+one, b, all by hash and so the same in every text (r by a table of ``2**GAMMA_BITS`` quantiles, c exactly). A term of weight w stands in a place at the step t = floor(ln w / r + b) of
 a grid of logarithms, with the value ln c - r (t - b + 1); the place's sample is the term and step of the smallest value.
 Two texts agree in a place with the probability of the generalised Jaccard similarity of their weights, which may be
 fractions: the sum of the lesser weights over that of the greater ones (Ioffe's method).
