@@ -95,21 +95,25 @@ def radius_join(points: DataFrame, readings: DataFrame, radius: float) -> DataFr
 
 
 def register_radius_function(spark: SparkSession, view: str) -> None:
-    """The session's table function ``readings_within_radius(lat, lng, metres)`` over a view of readings: their columns and ``distance``."""
+    """The session's table function ``readings_within_radius(lat, lng, metres)`` over a view of readings: their columns and ``distance``.
+
+    The box stands twice: as a filter, which reaches the scan where the call has constants, and in the distance's own expression,
+    as filters on the centre are tested only after the join with the function's callers where the call is ``LATERAL``.
+    """
     columns = [(f.name, f.dataType.simpleString()) for f in spark.table(view).schema.fields]
     metres = _distance_sql("center_lat", "center_lng", "r.latitude", "r.longitude")
     box = "r.latitude BETWEEN center_lat - metres / 110000D AND center_lat + metres / 110000D"
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION readings_within_radius(center_lat DOUBLE, center_lng DOUBLE, metres DOUBLE)
       RETURNS TABLE({", ".join(f"`{n}` {t}" for n, t in columns)}, distance DOUBLE)
-      RETURN SELECT * FROM (SELECT {", ".join(f"r.`{n}`" for n, _ in columns)}, {metres} AS distance FROM {view} r WHERE {box}) WHERE distance <= metres""")
+      RETURN SELECT * FROM (SELECT {", ".join(f"r.`{n}`" for n, _ in columns)}, CASE WHEN {box} THEN {metres} END AS distance FROM {view} r WHERE {box}) WHERE distance <= metres""")
 
 
 def _distance_sql(lat1: str, lng1: str, lat2: str, lng2: str) -> str:
-    """``distance`` as SQL text."""
+    """``distance`` as SQL text; lambdas name its parts, so that none is worked out for each of its mentions."""
     b1, b2 = (f"atan({1 - FLATTENING!r}D * tan(radians({x})))" for x in (lat1, lat2))
-    h = f"(pow(sin(({b2} - {b1}) / 2), 2) + cos({b1}) * cos({b2}) * pow(sin(radians({lng2} - {lng1}) / 2), 2))"
-    s = f"(2 * asin(least(1D, sqrt({h}))))"
-    p, q = f"(({b1} + {b2}) / 2)", f"(({b2} - {b1}) / 2)"
-    x = f"(({s} - sin({s})) * pow(sin({p}) * cos({q}) / cos({s} / 2), 2))"
-    y = f"(({s} + sin({s})) * pow(cos({p}) * sin({q}) / sin({s} / 2), 2))"
-    return f"CASE WHEN {s} = 0 THEN 0D ELSE {AXIS!r}D * ({s} - {FLATTENING / 2!r}D * ({x} + {y})) END"
+    h = "pow(sin((v.b - v.a) / 2), 2) + cos(v.a) * cos(v.b) * pow(sin(radians(v.turn) / 2), 2)"
+    p, q = "((v.a + v.b) / 2)", "((v.b - v.a) / 2)"
+    x = f"((s - sin(s)) * pow(sin({p}) * cos({q}) / cos(s / 2), 2))"
+    y = f"((s + sin(s)) * pow(cos({p}) * sin({q}) / sin(s / 2), 2))"
+    metres = f"transform(array(2 * asin(least(1D, sqrt({h})))), s -> CASE WHEN s = 0 THEN 0D ELSE {AXIS!r}D * (s - {FLATTENING / 2!r}D * ({x} + {y})) END)[0]"
+    return f"transform(array(named_struct('a', {b1}, 'b', {b2}, 'turn', {lng2} - {lng1})), v -> {metres})[0]"

@@ -429,3 +429,15 @@ def test_the_radius_function_in_sql(spark, stored):
     assert sorted(map(tuple, joined.collect())) == sorted((r.point_id, r.id) for r in geo.radius_join(points, table, 20_000.0).collect())
     counts = spark.sql(f"SELECT c.n, (SELECT count(*) FROM readings_within_radius(28.3D, 77.3D, 20000D)) AS k FROM ({centres}) c(n, lat, lng)").collect()
     assert {r.k for r in counts} == {plain.count()}
+
+
+def test_the_radius_function_takes_few_distances(spark, stored):
+    """Called for many centres, it tests its box first, and no part of a distance is worked out twice."""
+    tables.register(spark, stored)
+    centres = spark.range(40).select(F.col("id").alias("n"), (F.lit(27.0) + F.col("id") * 0.1).alias("lat"), F.lit(77.2).alias("lng"))
+    centres.createOrReplaceTempView("centres")
+    found = spark.sql("SELECT c.n, r.id, r.distance FROM centres c, LATERAL readings_within_radius(c.lat, c.lng, 20000D) r")
+    plain = geo.radius_join(centres.withColumnRenamed("n", "point_id"), files.scan_table(spark, stored, "readings"), 20_000.0)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.select("point_id", "id", "distance").collect())) != []
+    met = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "ATAN" in line]
+    assert met and all(line.count("ATAN") <= 2 and line.index(">= (") < line.index("ATAN") for line in met)
