@@ -75,3 +75,14 @@ def test_radius_join_equals_radius(spark):
     joined = geo.radius_join(points, readings, 5000.0)
     for point, lat, lng in ((0, 28.6, 77.2), (1, 0.0, 179.99)):
         assert sorted(r.id for r in joined.where(F.col("point_id") == point).collect()) == sorted(r.id for r in geo.readings_within_radius(readings, lat, lng).collect())
+
+
+def test_radius_join_deals_readings_the_same_way_at_any_size(spark, monkeypatch):
+    monkeypatch.setattr(geo, "POINTS_AT_ONCE", 2)  # a place's points in several arrays
+    readings = spark.range(300).select("id", (F.lit(28.6) + F.col("id") % 3 * 0.02).alias("latitude"), F.lit(77.2).alias("longitude"))
+    points = spark.range(200).select(F.col("id").alias("point_id"), (F.lit(28.6) + F.col("id") % 5 * 0.03).alias("lat"), F.lit(77.2).alias("lng"))
+    joined = geo.radius_join(points, readings, 5000.0)
+    plain = points.crossJoin(readings).withColumn("distance", geo.distance(F.col("lat"), F.col("lng"), F.col("latitude"), F.col("longitude"))).where("distance <= 5000")
+    assert sorted(map(tuple, joined.select("point_id", "id", "distance").collect())) == sorted(map(tuple, plain.select("point_id", "id", "distance").collect()))
+    steps = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [knownfloatingpointnormalized(normalizenanandzero(latitude" in steps and "inline(held" in steps  # few points aren't broadcast, and stay together until then
