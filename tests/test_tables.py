@@ -441,3 +441,17 @@ def test_the_radius_function_takes_few_distances(spark, stored):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.select("point_id", "id", "distance").collect())) != []
     met = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "ATAN" in line]
     assert met and all(line.count("ATAN") <= 2 and line.index(">= (") < line.index("ATAN") for line in met)
+
+
+def test_fresh_days_are_written_once(spark, stored, monkeypatch):
+    """Rows of days that the table has none of are worked out and written once, then moved; other days are written again."""
+    wrote, real = [], tables.write
+    monkeypatch.setattr(tables, "write", lambda rows, name, path, *a, **o: wrote.append(path) or real(rows, name, path, *a, **o))
+    monkeypatch.setattr(tables, "days_of", lambda *_: pytest.fail("the rows' days are asked for"))
+    root = f"{stored}/other"
+    tables.create(spark, root)
+    tables.put(spark, root, readings=tables.laid_out(spark.createDataFrame([reading(1, "m1", 0), reading(2, "m2", 1)], READING), "readings"))
+    assert len(wrote) == 1 and "/_changes/" in wrote[0]
+    tables.put(spark, root, readings=tables.laid_out(spark.createDataFrame([reading(3, "m3", 1), reading(4, "m4", 2), ("r5", "u", "m", 1, 1.0, 1.0, "user", None)], READING), "readings"))
+    assert sorted((r.id, str(r.day)) for r in tables.scan(spark, root, "readings").collect()) == [("r1", "2024-05-01"), ("r2", "2024-05-02"), ("r3", "2024-05-02"), ("r4", "2024-05-03"), ("r5", "None")]
+    assert store.folders(spark, f"{root}/_changes/*") == []
