@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import as_row, join_small, materialise
+from .common import as_row, join_small, materialise, tidy
 
 #: Bits of an n-gram's hash, at most and at least, and weights that a model holds but for the last.
 BITS, BITS_LEAST, WEIGHTS = 16, 10, 1 << 24
@@ -147,7 +147,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, least: int = LEAST) -> Model |
     if not classes:
         return None
     bits = int(min(BITS, max(BITS_LEAST, np.log2(WEIGHTS / classes))))
-    rows = allowed.select("text").mapInArrow(_frequencies(bits), "gram long, documents long").groupBy("gram").agg(F.sum("documents").alias("documents")).collect()  # at most 2**BITS + 1
+    rows = allowed.select("text").mapInArrow(tidy(_frequencies(bits)), "gram long, documents long").groupBy("gram").agg(F.sum("documents").alias("documents")).collect()  # at most 2**BITS + 1
     held, total = np.zeros(1 << bits), 0
     for r in rows:
         if r["gram"] < 0:
@@ -158,7 +158,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, least: int = LEAST) -> Model |
     wanted = float(max(least, sample / classes))
     share = sizes.select("lang", F.when(F.col("many") > 2 * least, F.lit(wanted) / F.col("many")).otherwise(F.lit(1.0)).alias("share"))
     drawn = join_small(labelled.select("lang", "text", draw.alias("draw")), materialise(share, "shares"), ["lang"]).where(F.col("draw") < F.col("share") * float(1 << 40))
-    found = drawn.select("lang", "text", "draw").dropDuplicates(["lang", "draw"]).select("lang", "text").mapInArrow(_counted(bits), "lang string, ids binary, counts binary").collect()
+    found = drawn.select("lang", "text", "draw").dropDuplicates(["lang", "draw"]).select("lang", "text").mapInArrow(tidy(_counted(bits)), "lang string, ids binary, counts binary").collect()
     found = sorted((r["lang"], bytes(r["ids"]), bytes(r["counts"])) for r in found if r["ids"])
     if not found:
         return None
@@ -193,13 +193,13 @@ def _predictor(model: Model | None, field: str | None = None) -> Callable[[Itera
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs(doc_id, text)`` to ``doc_id, held_out, lang_pred, score``, reading nothing but the text for a prediction."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
-    return docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(_predictor(model), "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(tidy(_predictor(model)), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, least: float) -> DataFrame:
     """The rows of ``docs`` whose language is known with at least ``least``, their ``lang`` set to it; other columns as they are."""
     model = train(docs.select("doc_id", "text", "lang"))
     rows = as_row(docs)
-    said = rows.mapInArrow(_predictor(model, "text"), StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    said = rows.mapInArrow(tidy(_predictor(model, "text")), StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
     said = said.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
     return said.select(F.col("row").withField("lang", F.col("lang_pred").cast(docs.schema["lang"].dataType)).alias("row")).select("row.*")

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_row, join_small, materialise, partitions, row_hash
+from .common import as_row, join_small, materialise, partitions, row_hash, tidy
 from .graph import connected_components
 from .shingles import WORDS, set_hash, shingle_sets
 
@@ -178,10 +178,10 @@ def _across(sets: DataFrame, gathered: DataFrame, percent: int) -> DataFrame:
 def components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """``docs(doc_id, text)`` to ``doc_id, n_shingles, component_id`` (the smallest id reachable by links), a row a row."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(_shingled(words), ROWS)
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(_shingled(words)), ROWS)
     place = F.when(F.col("kind").isin(PAIR, HOT_SUM), F.col("token")).otherwise(F.xxhash64("id", "token"))
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    rows = materialise(rows.repartition(max(partitions(spark), size // PARTITION_BYTES), place).mapInArrow(_shared, ROWS), "shared")
+    rows = materialise(rows.repartition(max(partitions(spark), size // PARTITION_BYTES), place).mapInArrow(tidy(_shared), ROWS), "shared")
     documents = rows.where(F.col("kind") == DOCUMENT).select(F.col("id").alias("doc_id"), F.col("token").alias("id"), F.col("n"))
 
     hot = materialise(rows.where(F.col("kind") == HOT_SUM).select("token", F.col("n").alias("hot")), "hot")

@@ -27,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import tidy
+
 KINDS = ("email", "ip", "card", "phone")
 #: Rows that a Python worker rewrites at once.
 ROWS_AT_ONCE = 1000
@@ -266,7 +268,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
     telling = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]")).select("text", F.pmod(F.xxhash64("text"), F.lit(1 << 40)).alias("draw"))
     texts = telling.select("draw").distinct().count()
     drawn = telling.where(F.col("draw") < float(1 << 40) * min(1.0, sample / max(1, texts))).dropDuplicates(["draw"]).select("text")
-    rows = drawn.mapInArrow(_labelled, "said array<string>, labels array<long>").collect()
+    rows = drawn.mapInArrow(tidy(_labelled), "said array<string>, labels array<long>").collect()
     field.fit(sorted((r["said"], r["labels"]) for r in rows if r["said"]))
     return field
 
@@ -284,7 +286,7 @@ def _finder(field: Field) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
 def find(docs: DataFrame, field: Field) -> DataFrame:
     """``docs(doc_id, text)`` to ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans``, a row a row."""
-    return docs.select("doc_id", "text").mapInArrow(_finder(field), f"doc_id long, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(_finder(field)), f"doc_id long, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string")
 
 
 def redacted(text: str, spans: list[Span]) -> str:
@@ -310,5 +312,5 @@ def _redactor(field: Field, place: int) -> Callable[[Iterator[pa.RecordBatch]],
 
 def redact(docs: DataFrame, field: Field) -> DataFrame:
     """``docs`` with the personal data in ``text`` replaced by its kind, and ``n_chars`` counted anew where there is one."""
-    done = docs.mapInArrow(_redactor(field, docs.columns.index("text")), docs.schema)
+    done = docs.mapInArrow(tidy(_redactor(field, docs.columns.index("text"))), docs.schema)
     return done.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done

@@ -162,3 +162,18 @@ def test_run(spark, docs, tmp_path):
     pieces = lambda found: Counter((r[0], r[1], r[2], r[3], r[4]) for r in found)
     assert pieces(got.elements()) == pieces(map(tuple, last))
     assert step.where(F.col("text").contains("mail.example.com")).isEmpty()
+
+
+def test_every_python_task_of_the_stages_gives_memory_back(spark, monkeypatch):
+    from airq.llm import common, langid, ngram_join, pii_crf
+
+    tidied, real = [], common.tidy
+    for module in (langid, ngram_join, pii_crf):
+        monkeypatch.setattr(module, "tidy", lambda run: tidied.append(1) or real(run))
+    docs = spark.createDataFrame([(k, f"some words of a text number {k}", "en", "a") for k in range(40)], "doc_id long, text string, lang string, source string")
+    ngram_join.components(docs)
+    assert len(tidied) == 2
+    pii_crf.redact(docs, pii_crf.train(docs.select("text")))
+    assert len(tidied) == 4
+    langid.keep_identified(docs, 0.4)
+    assert len(tidied) == 7
