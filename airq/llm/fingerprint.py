@@ -2,18 +2,29 @@
 
 A text's terms are its pairs of neighbouring words (white space parts words; the last word stands alone), weighted by how often
 they occur. For each term and each of ``SAMPLES`` places there are two gamma draws of shape 2, r and c, and a uniform
-one, b, all by hash and so the same in every text (r by a table of ``2**GAMMA_BITS`` quantiles, c exactly). A term of weight w stands in a place at the step t = floor(ln w / r + b) of
-a grid of logarithms, with the value ln c - r (t - b + 1); the place's sample is the term and step of the smallest value.
+one, b, all by hash and so the same in every text. A term of weight w stands in a place at the step t = floor(ln w / r + b) of
+a grid of logarithms, with the value c exp(-r (t - b + 1)); the place's sample is the term and step of the smallest value.
 Two texts agree in a place with the probability of the generalised Jaccard similarity of their weights, which may be
 fractions: the sum of the lesser weights over that of the greater ones (Ioffe's method).
 
-Draws are made for a few documents at once, for every distinct term and weight among their texts and their edited texts once.
-A text's terms are read in parts, so its length is not bounded.
+**Order of the draws.** With these laws e = r b, f = r (1 - b) are independent exponential draws, and so are a = c exp(-f) and
+c - a. So a, e and c - a are drawn, a first: it is the value at weight 1, and no smaller weight's value is below it. A term's
+places share out the quantiles of a: each has one of as many equal parts, by a permutation that hangs on the term, and a
+uniform draw within it. Each place so has its exponential draw, independent of those of other terms, which is all that the probability
+above needs; and a term's places are known in about the order of their values.
+
+**Draws that can't be the smallest are not made.** Of terms of weight 1 or less, only the parts of the smallest values are
+drawn, up to ``REACH`` over the text's summed weights; of heavier terms all. Values beyond that limit are dropped, so a place that has
+any left has its smallest. A text with an empty place (one in 2 x 10^8) is drawn whole in a second pass.
+
+All of it is DataFrame operations. A task holds a text's words at once.
 
 Null and empty texts are one empty term and so have equal fingerprints. A null id comes before all others.
 Documents stand by id; where an id has several texts, each is fingerprinted, and the one of the smallest
 hash is the predecessor's next text. Rows that repeat whole give as many equal rows. An empty table gives none.
 Other columns are ignored, whatever their names.
+
+``marks`` and what it calls draw in numpy what fits into one process, in the order of the formulas. No query runs them.
 """
 
 from __future__ import annotations
@@ -35,6 +46,8 @@ TERMS, WORDS, CACHE = 32_768, 1 << 18, 1 << 20
 ROWS = 512
 #: Bits of the table that r is taken from.
 GAMMA_BITS = 14
+#: Smallest values are looked for up to this over the summed weights; a place has none there with the probability exp(-REACH).
+REACH = 24.0
 #: Stands for a null id; smaller than all others.
 NO_ID = -(1 << 63)
 
@@ -200,6 +213,78 @@ def _printer(count: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
+def _terms(text: str) -> Column:
+    """A text's terms, as sorted hashes with repeats: pairs of words, and the last word alone."""
+    white = " \t\n\v\f\r"
+    words = F.split(F.trim(text, F.lit(white)), f"[{white}]+")
+    hashes = F.array(F.transform(words, lambda w: F.xxhash64(w)))
+    return F.sort_array(F.transform(hashes, lambda h: F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1))))[0])
+
+
+def weighted_terms(texts: DataFrame, by: list[str]) -> DataFrame:
+    """``texts(*by, text)`` to a row for each of a text's distinct terms: ``by``, ``total`` (of all weights), ``term``, ``weight``."""
+    sorted_ = texts.select(*by, _terms("text").alias("terms"))
+    starts = F.transform(F.array("terms"), lambda a: F.filter(F.transform(a, lambda x, i: F.when((i == 0) | (x != F.get(a, i - 1)), i)), lambda i: i.isNotNull()))[0]
+    runs = sorted_.select(*by, "terms", starts.alias("starts"))
+    each = runs.select(*by, "terms", "starts", F.posexplode_outer("starts").alias("n", "start"))
+    weight = F.coalesce(F.get("starts", F.col("n") + 1), F.size("terms")) - F.col("start")
+    return each.select(*by, F.size("terms").cast("double").alias("total"), F.coalesce(F.get("terms", F.col("start")), F.lit(0)).alias("term"), weight.cast("double").alias("weight"))
+
+
+def _uniform(*parts: str | Column) -> Column:
+    """A number between 0 and 1, by hash."""
+    return (F.shiftrightunsigned(F.xxhash64(*parts), 11) + F.lit(0.5)) * F.lit(2.0**-53)
+
+
+def samples(sets: DataFrame, by: list[str], count: int = SAMPLES, reach: float | None = REACH) -> DataFrame:
+    """``sets(*by, total, term, weight)``, each term of a set once, to ``by``, ``place`` and ``key``, whose lower 32 bits are the set's sample in that place.
+
+    A place that no value within ``reach`` falls into has no row; without ``reach`` all have one.
+    """
+    bits = max((count - 1).bit_length(), 1)
+    parts, mask, shift = 1 << bits, (1 << bits) - 1, (bits + 1) // 2
+    drawn = F.lit(parts) if reach is None else F.when(F.col("total") * F.lit(1 / (reach * parts)) <= F.lit(1 / parts), F.lit(parts)).otherwise(F.ceil(F.lit(reach * parts) / F.col("total")).cast("int"))
+    out = sets.select(*by, "term", "weight", drawn.alias("drawn"), F.xxhash64("term", F.lit(0)).alias("shape"))
+    out = out.withColumn("part", F.explode_outer(F.sequence(F.lit(0), F.when(F.col("weight") <= 1, F.col("drawn")).otherwise(F.lit(parts)) - 1)))
+
+    def bitsof(at: int) -> Column:
+        return F.shiftrightunsigned("shape", at).bitwiseAND(F.lit(mask))
+
+    # a permutation of the parts: products with odd numbers and shifted differences can be undone
+    out = out.withColumn("x", (F.col("part").bitwiseXOR(bitsof(0)) * bitsof(15).bitwiseOR(F.lit(1))).bitwiseAND(F.lit(mask)))
+    out = out.withColumn("x", (F.col("x").bitwiseXOR(F.shiftrightunsigned("x", shift)) * bitsof(30).bitwiseOR(F.lit(1))).bitwiseAND(F.lit(mask)))
+    out = out.withColumn("place", (F.col("x").bitwiseXOR(F.shiftrightunsigned("x", shift)) + bitsof(45)).bitwiseAND(F.lit(mask)).cast("int"))
+    if count < parts:
+        out = out.where(F.col("place") < count)
+    out = out.withColumn("u", (F.col("part") + _uniform("term", "part")) * F.lit(1 / parts))
+    out = out.withColumn("a", F.greatest("u", -F.log(1 - F.col("u"))))  # the greater where the logarithm rounds to 0
+
+    heavy = F.col("weight") != 1
+    out = out.withColumn("e", F.when(heavy, -F.log(_uniform("term", "part", F.lit(1)))).otherwise(F.lit(0.0)))
+    out = out.withColumn("r", F.when(heavy, F.col("e") + F.log1p(-F.log(_uniform("term", "part", F.lit(2))) / F.col("a"))).otherwise(F.lit(1.0)))  # f = ln(c / a)
+    out = out.withColumn("t", F.when(heavy, F.floor((F.log("weight") + F.col("e")) / F.col("r"))).otherwise(F.lit(0)))
+    out = out.withColumn("value", F.when(F.col("t") != 0, F.col("a") * F.exp(-F.col("r") * F.col("t"))).otherwise(F.col("a")))
+    rank = F.least((F.col("value") / (1 + F.col("value")) * F.lit(2.0**31)).cast("long"), F.lit((1 << 31) - 1))
+    name = F.when(F.col("t") == 0, F.col("term")).otherwise(F.xxhash64("term", "t")).bitwiseAND(F.lit((1 << 32) - 1))
+    # no filter on values here: it would be pushed below what it is worked out from and make the code too long to be compiled
+    within = (F.col("drawn") == parts) | (F.col("value") < F.col("drawn") * F.lit(1 / parts))
+    key = F.when(within, F.shiftleft(rank, 32).bitwiseOR(name))
+    return out.select(*by, "place", key.alias("key")).groupBy(*by, "place").agg(F.min("key").alias("key")).where("key is not null")
+
+
+def sampled(both: DataFrame, count: int, reach: float | None) -> DataFrame:
+    """``both(id, hash, edited_sha256, text, edited)`` to the first three and both texts' marks; ``whole`` tells whether all places have one."""
+    by = ["id", "hash", "edited_sha256"]
+    texts = both.select(*by, F.posexplode(F.array("text", "edited")).alias("which", "text"))
+    found = samples(weighted_terms(texts, [*by, "which"]), [*by, "which"], count, reach)
+    at = F.shiftleft((F.col("which") * count + F.col("place")).cast("long"), 32)
+    lists = found.groupBy(*by).agg(F.sort_array(F.collect_list(at.bitwiseOR(F.col("key").bitwiseAND(F.lit((1 << 32) - 1))))).alias("found"))
+    signed = F.expr("transform(found, x -> int(((x & 4294967295L) ^ 2147483648L) - 2147483648L))")
+    lists = lists.select("id", "hash", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), signed.alias("found"))
+    whole = F.size("found") == 2 * count
+    return lists.select("id", "hash", "edited_sha256", F.slice("found", 1, count).alias("marks"), F.slice("found", count + 1, count).alias("edited_marks"), whole.alias("whole"))
+
+
 def next_documents(ids: DataFrame) -> DataFrame:
     """``ids(id, ...)``, a row an id, with ``next_id``: the next larger id, after the largest the smallest.
 
@@ -213,7 +298,7 @@ def next_documents(ids: DataFrame) -> DataFrame:
     return within.join(F.broadcast(edges), "range").withColumn("next_id", F.coalesce("next_id", "onward")).drop("range", "onward")
 
 
-def fingerprints(docs: DataFrame, count: int = SAMPLES) -> DataFrame:
+def fingerprints(docs: DataFrame, count: int = SAMPLES, reach: float | None = REACH) -> DataFrame:
     """``docs(doc_id, text)`` to a row per document: its fingerprint, that of its edited text and both likenesses.
 
     The edited text is the document with its last half replaced by as much of the next document's start.
@@ -227,14 +312,20 @@ def fingerprints(docs: DataFrame, count: int = SAMPLES) -> DataFrame:
     before = order.select(F.col("next_id").alias("id"), F.col("first_hash").alias("hash_before"), F.col("id").alias("id_before"), F.expr("longest div 2").alias("wanted"))
     places = order.select("id", "first_hash", "next_id").join(before, "id").select("id", "first_hash", "next_id", "id_before", "wanted")
 
-    whole = base
-    if not rows.where("rows > 1").isEmpty():  # costs one more shuffle of the texts, so only where rows do repeat
-        whole = base.dropDuplicates(["id", "hash"])
+    # a task groups all places of its texts, so it gets half as many texts as other tasks; both joins need them by id and read the same shuffle
+    whole = base.repartition(2 * partitions(base.sparkSession), "id")
+    if not rows.where("rows > 1").isEmpty():
+        whole = whole.dropDuplicates(["id", "hash"])
     heads = whole.join(places, "id").where("(hash ^ first_hash) = 0").select(F.col("id_before").alias("id"), F.expr("left(text, int(wanted))").alias("head"))
     edited = F.concat(F.expr("left(text, char_length(text) - int(char_length(text) div 2))"), F.expr("left(head, int(char_length(text) div 2))"))
-    both = whole.join(heads, "id").select("id", "hash", F.col("text").cast("binary").alias("text"), edited.cast("binary").alias("edited"))
-    drawn = both.select("id", "hash", F.sha2("edited", 256).alias("edited_sha256"), "text", "edited").mapInArrow(_printer(count), "id long, hash long, edited_sha256 string, marks array<int>, edited_marks array<int>")
-    known = materialise(drawn, "drawn").join(rows, ["id", "hash"]).join(places.select("id", "first_hash", "id_before"), "id")
+    both = whole.join(heads, "id").select("id", "hash", "text", edited.alias("edited"))
+    both = both.select("id", "hash", F.unhex(F.sha2(F.col("edited").cast("binary"), 256)).alias("edited_sha256"), "text", "edited")
+    drawn = materialise(sampled(both, count, reach), "drawn")
+    if not drawn.where("not whole").isEmpty():
+        again = both.join(drawn.where("not whole").select("id", "hash"), ["id", "hash"], "leftsemi")
+        drawn = materialise(drawn.where("whole").unionByName(sampled(again, count, None)), "drawn")
+    drawn = drawn.drop("whole")
+    known = drawn.join(rows, ["id", "hash"]).join(places.select("id", "first_hash", "id_before"), "id")
     signed = materialise(known.withColumn("first", F.col("hash") == F.col("first_hash")).drop("first_hash"), "signed")
 
     following = signed.where("first").select(F.col("id_before").alias("id"), F.col("marks").alias("next_marks"))

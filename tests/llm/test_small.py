@@ -167,6 +167,84 @@ def test_draws_follow_their_laws():
         assert abs(value.mean() * w - 1) < 0.03 and abs((value * w < 0.1).mean() - 0.0952) < 0.005 and abs((value * w < 2).mean() - 0.8647) < 0.01
 
 
+def test_fingerprints_run_no_python(docs, monkeypatch):
+    def refused(*_, **__):
+        raise AssertionError("Python on the executors")
+
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(docs), name, refused)
+    assert "Python" not in fingerprint.fingerprints(docs)._jdf.queryExecution().toString()
+
+
+def plain_marks(text, count=128):
+    """All draws of all terms, one by one."""
+    import math
+
+    import xxhash
+
+    def hashed(*parts):  # numbers that are counted are of 32 bits, hashes and steps of 64
+        h = 42
+        for x in parts:
+            h = xxhash.xxh64_intdigest(x if isinstance(x, bytes) else (x[0] & (1 << 64) - 1).to_bytes(8, "little") if isinstance(x, tuple) else x.to_bytes(4, "little"), h)
+        return h
+
+    words = [hashed(w) for w in text.encode().split() or [b""]]
+    terms = Counter([hashed((x,), (y,)) for x, y in itertools.pairwise(words)] + [hashed((words[-1],))])
+    best = [(1 << 64, None)] * count
+    for term, weight in terms.items():
+        shape = hashed((term,), 0)
+        for part in range(count):
+            x = ((part ^ shape & 127) * (shape >> 15 & 127 | 1)) & 127
+            x = ((x ^ x >> 4) * (shape >> 30 & 127 | 1)) & 127
+            place = ((x ^ x >> 4) + (shape >> 45 & 127)) & 127
+            u, e, d = ((hashed((term,), part, *more) >> 11) * 2.0**-53 + 2.0**-54 for more in ((), (1,), (2,)))
+            a = -math.log(1 - (part + u) / count)
+            e, c = -math.log(e), a - math.log(d)  # r b, and c
+            r = e + math.log(c / a)
+            b = e / r
+            t = math.floor(math.log(weight) / r + b)
+            value = c * math.exp(-r * (t - b + 1))
+            best[place] = min(best[place], (value, (hashed((term,), (t,)) if t else term) & 0xFFFFFFFF))
+    return "".join(f"{mark:08x}" for _, mark in best)
+
+
+def test_fingerprints_by_brute_force(spark):
+    """Texts with and without repeats against all of their draws by the formulas; a short reach leaves places empty, which a second pass fills."""
+    rng = random.Random(9)
+    texts = ["", " \t\n", "one", " one\x0btwo\f", "a " * 500 + "b", words(rng, 300), " ".join(rng.choices(["x", "y", "z", "zz"], k=400)), words(rng, 900) + " the end" * 5]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = {k: plain_marks(t) for k, t in enumerate(texts)}
+    for reach in (fingerprint.REACH, 1.5):
+        rows = fingerprint.fingerprints(docs, reach=reach).collect()
+        assert {r.doc_id: r.fingerprint for r in rows} == plain
+        for r in rows:
+            text, following = texts[r.doc_id], texts[(r.doc_id + 1) % len(texts)]
+            edited = text[: len(text) - len(text) // 2] + following[: len(text) // 2]
+            assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and r.edited_fingerprint == plain_marks(edited)
+    short = fingerprint.sampled(docs.selectExpr("doc_id as id", "0L as hash", "unhex('00') as edited_sha256", "text", "text as edited"), 128, 1.5)
+    assert short.where("not whole").count() > 0  # so there was something to fill
+
+
+def test_native_samples_of_fractional_weights(spark):
+    """The rate of equal samples is generalised Jaccard, and a term is sampled in proportion to its weight."""
+    rng = np.random.default_rng(5)
+    for scale in (1e-3, 1.0, 50.0):
+        terms = [int(x) for x in rng.integers(-(1 << 63), 1 << 63, 60)]
+        a = rng.gamma(0.5, scale, 60) * (rng.random(60) < 0.8)
+        b = np.where(rng.random(60) < 0.5, a, a * rng.uniform(0.2, 3, 60)) * (rng.random(60) < 0.9)
+        rows = [(n, float(w.sum()), t, float(x)) for n, w in enumerate((a, b)) for t, x in zip(terms, w, strict=True) if x > 0]
+        sets = spark.createDataFrame(rows, "n int, total double, term long, weight double")
+        near = fingerprint.samples(sets, ["n"], 8192).collect()
+        assert len(near) == 2 * 8192 and sorted(near) == sorted(fingerprint.samples(sets, ["n"], 8192, None).collect())
+        got = [{r.place: r.key & 0xFFFFFFFF for r in near if r.n == n} for n in (0, 1)]
+        exact = np.minimum(a, b).sum() / np.maximum(a, b).sum()
+        assert abs(sum(got[0][p] == got[1][p] for p in range(8192)) / 8192 - exact) < 0.02
+        # weights below 1 move steps, and so names; those of one weight alone are the term's own
+        ones = spark.createDataFrame([(0, 60.0, t, 1.0) for t in terms], "n int, total double, term long, weight double")
+        drawn = Counter(r.key & 0xFFFFFFFF for r in fingerprint.samples(ones, ["n"], 8192).collect())
+        assert set(drawn) <= {t & 0xFFFFFFFF for t in terms} and max(abs(x / 8192 - 1 / 60) for x in drawn.values()) < 0.01
+
+
 def test_terms_in_parts(monkeypatch):
     rng = random.Random(3)
     texts = ["", "  ", "one", "one two", " a b\tc\n\na b ", words(rng, 700)]
