@@ -312,11 +312,12 @@ def fingerprints(docs: DataFrame, count: int = SAMPLES, reach: float | None = RE
     before = order.select(F.col("next_id").alias("id"), F.col("first_hash").alias("hash_before"), F.col("id").alias("id_before"), F.expr("longest div 2").alias("wanted"))
     places = order.select("id", "first_hash", "next_id").join(before, "id").select("id", "first_hash", "next_id", "id_before", "wanted")
 
-    # a task groups all places of its texts, so it gets half as many texts as other tasks; both joins need them by id and read the same shuffle
-    whole = base.repartition(2 * partitions(base.sparkSession), "id")
+    # a task groups all places of its texts, so it gets half as many texts as other tasks; both joins read the same shuffle, as places are dealt likewise
+    tasks = 2 * partitions(base.sparkSession)
+    whole = base.repartition(tasks, "id")
     if not rows.where("rows > 1").isEmpty():
         whole = whole.dropDuplicates(["id", "hash"])
-    heads = whole.join(places, "id").where("(hash ^ first_hash) = 0").select(F.col("id_before").alias("id"), F.expr("left(text, int(wanted))").alias("head"))
+    heads = whole.join(places.repartition(tasks, "id"), "id").where("(hash ^ first_hash) = 0").select(F.col("id_before").alias("id"), F.expr("left(text, int(wanted))").alias("head"))
     edited = F.concat(F.expr("left(text, char_length(text) - int(char_length(text) div 2))"), F.expr("left(head, int(char_length(text) div 2))"))
     both = whole.join(heads, "id").select("id", "hash", "text", edited.alias("edited"))
     both = both.select("id", "hash", F.unhex(F.sha2(F.col("edited").cast("binary"), 256)).alias("edited_sha256"), "text", "edited")
