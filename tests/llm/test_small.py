@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from airq.llm import embed_neardup, fingerprint, langid, mixing, ngram_join, packing, pii_crf, token_rollup, toxicity
+from airq.llm.common import join_small, materialise
 from airq.llm.graph import connected_components
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -557,3 +558,14 @@ def test_commits_at_once_get_their_own_numbers(spark):
         t.join()
     assert sorted(r.number for r in rollup._log().collect()) == [0, 1, 2, 3]
     assert [(r.documents, r.tokens) for r in rollup.totals().collect()] == [(40, 180)]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_a_small_side_beyond_the_bound_is_never_broadcast(spark, how):
+    """Spark takes salted rows for one of their copies; a table that its files hold in less than the threshold was sent out in 32."""
+    big = spark.range(400).select((F.col("id") % 7).alias("key"), "id").withColumn("key", F.when(F.col("id") > 50, F.col("key")))
+    small = materialise(spark.range(5).select(F.col("id").alias("key"), (F.col("id") * 10).alias("value")), "small")
+    within, beyond = (join_small(big, small, ["key"], how, rows=n) for n in (5, 4))
+    assert Counter(map(tuple, beyond.collect())) == Counter(map(tuple, within.collect())) != Counter()
+    assert "Broadcast" in within._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in beyond._jdf.queryExecution().executedPlan().toString()
