@@ -38,8 +38,8 @@ GROUP_TOKENS = 8_000
 PARTITION_BYTES = 16 << 20
 #: Sets that meet one part in one task.
 OPENED = 64
-#: Rows, of 8 bytes each, that may be broadcast where one of each component is kept.
-DROPPED_ROWS = 2_000_000
+#: Keys of rows to drop that may be broadcast; with more of them, bitmaps of this many times ``MAP_BITS`` bits (8 MB) tell which rows may be concerned.
+DROPPED_ROWS, MAPS, MAP_BITS = 200_000, 2048, 1 << 15
 #: Minimum hashes by which sets are brought together.
 ROUNDS = 4
 
@@ -216,12 +216,28 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> Dat
     found = materialise(found.groupBy(F.col("doc_id").alias("key"), F.col("component_id").alias("component")).agg(F.count("*").alias("many")), "found")
     shared = materialise(found.groupBy("component").agg(F.count("*").alias("texts")).where("texts > 1").select("component"), "shared")
     held = materialise(join_small(found, shared, ["component"]).select("key", "component"), "held")
-    ids = join_small(rows.select("key", F.col("row.doc_id").alias("id")).distinct(), held, ["key"], rows=DROPPED_ROWS)
+    ids = join_small(rows.select("key", F.col("row.doc_id").alias("id")).distinct(), held, ["key"])
     first = ids.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key"))["key"].alias("first"))
-    gone = materialise(held.join(first, "component").where("key <> first").select("key").distinct(), "gone")
-    kept = join_small(rows, gone, ["key"], "left_anti", DROPPED_ROWS)
-    again = materialise(found.groupBy("key").agg(F.sum("many").alias("many")).where("many > 1").select("key"), "again")
-    if again.isEmpty():
-        return kept.select("row.*")
-    once = join_small(kept, again, ["key"], "left_semi", DROPPED_ROWS).groupBy("key").agg(F.first("row").alias("row"))
-    return join_small(kept, again, ["key"], "left_anti", DROPPED_ROWS).select("row.*").unionByName(once.select("row.*"))
+    gone = held.join(first, "component").where("key <> first").select("key", F.lit(True).alias("gone"))
+    again = found.groupBy("key").agg(F.sum("many").alias("many")).where("many > 1").select("key", F.lit(False).alias("gone"))
+    marks = materialise(gone.unionByName(again).groupBy("key").agg(F.max("gone").alias("gone")), "marks")
+    rest = None
+    if marks.count() > DROPPED_ROWS:
+        apart = _maybe(rows, marks)
+        rest = apart.where("not maybe").select("row.*")
+        rows = apart.where("maybe").select("row", "key", F.monotonically_increasing_id().alias("deal"))  # by which equal rows are salted
+    marked = join_small(rows, marks, ["key"], "left", DROPPED_ROWS)
+    kept = marked.where("gone is null").select("row.*")
+    if not marks.where("not gone").isEmpty():
+        kept = kept.unionByName(marked.where("not gone").groupBy("key").agg(F.first("row").alias("row")).select("row.*"))
+    return kept if rest is None else kept.unionByName(rest)
+
+
+def _maybe(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` and whether their ``key``, a hash, may be one of ``keys``: bits in bitmaps of one size for any number of keys, so that only these rows need a shuffle."""
+    place = F.pmod("key", F.lit(MAPS * MAP_BITS))
+    map_, bit = F.shiftright(place, MAP_BITS.bit_length() - 1).alias("map"), place.bitwiseAND(MAP_BITS - 1).alias("bit")
+    maps = keys.select(map_, bit).groupBy("map").agg(F.bitmap_construct_agg("bit").alias("bits"))  # at most MAPS rows of 4 KB
+    found = rows.select("*", map_, bit).join(F.broadcast(maps), "map", "left")
+    maybe = F.expr("getbit(cast(conv(hex(substring(bits, int(bit div 8) + 1, 1)), 16, 10) as long), int(bit % 8)) = 1")
+    return found.withColumn("maybe", F.coalesce(maybe, F.lit(False))).drop("map", "bit", "bits")

@@ -107,6 +107,18 @@ def test_near_duplicates_of_one_id(spark):
     assert sorted(r.text for r in got) == sorted([a, b]) and all(r.doc_id == 1 for r in got)
 
 
+@pytest.mark.parametrize(("maps", "bits"), [(2048, 1 << 15), (1, 8)])
+def test_near_duplicates_beyond_what_may_be_broadcast(spark, docs, monkeypatch, maps, bits):
+    """Keys of rows to drop aren't sent out, only bitmaps of one size; with bits that many keys share the result is the same."""
+    within = plain(ngram_join.keep_one(docs))
+    for name, value in (("DROPPED_ROWS", 0), ("MAPS", maps), ("MAP_BITS", bits)):
+        monkeypatch.setattr(ngram_join, name, value)
+    kept = ngram_join.keep_one(docs)
+    assert plain(kept) == within
+    sent = [line for line in kept._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line]
+    assert sent and all("map#" in line for line in sent)
+
+
 def test_personal_data(spark, docs, none, rows):
     done = pipeline.personal_data(spark, docs, "")
     assert done.columns == docs.columns
