@@ -569,3 +569,11 @@ def test_a_small_side_beyond_the_bound_is_never_broadcast(spark, how):
     assert Counter(map(tuple, beyond.collect())) == Counter(map(tuple, within.collect())) != Counter()
     assert "Broadcast" in within._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in beyond._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_counted_twice_are_joined_without_a_broadcast(spark, docs, monkeypatch):
+    """Token counts beyond the bound: the same totals, and the table of repeated texts is merged."""
+    totals, joined = token_rollup.maintained(docs, TOKENIZER, BYTES).collect(), []
+    monkeypatch.setattr(token_rollup, "join_small", lambda *a: joined.append(join_small(*a, rows=0)) or joined[-1])
+    assert Counter(map(tuple, token_rollup.maintained(docs, TOKENIZER, BYTES).collect())) == Counter(map(tuple, totals)) != Counter()
+    assert joined and all("Broadcast" not in df._jdf.queryExecution().executedPlan().toString() for df in joined)
