@@ -8,6 +8,8 @@ from ..config import CITIES
 
 #: Parts that the readings of one place are dealt to, and its points before they are put into arrays of at most so many.
 SALTS, POINTS_AT_ONCE = 16, 1000
+#: Readings of a place that pairs are made of at once; Parquet's writer packs runs of at most 504 values.
+READINGS_AT_ONCE = 504
 #: The ellipsoid of GPS coordinates.
 AXIS, FLATTENING = 6378137.0, 1 / 298.257223563
 
@@ -99,6 +101,21 @@ def radius_join(points: DataFrame, readings: DataFrame, radius: float) -> DataFr
     return salted.join(near.hint("merge"), ["latitude", "longitude", salt]).select(*readings.columns, F.inline(held))
 
 
+def held_by_place(readings: DataFrame, partitions: int, into: str) -> DataFrame:
+    """``latitude, longitude`` and an array ``into`` of the other columns of at most ``READINGS_AT_ONCE`` readings of that place, which are dealt to all partitions by one shuffle.
+
+    Pairs are written by array and point, so that a point stands for a run of readings and the same readings follow for each point: files
+    hold both in a fraction of what pairs in the order of readings take.
+    """
+    key, part = (free_name(n, readings) for n in ("key", "part"))
+    rows = F.xxhash64(*readings.columns)
+    dealt = readings.withColumn(key, F.xxhash64("latitude", "longitude", F.pmod(rows, F.lit(4 * partitions)))).repartition(partitions, key)
+    standing = F.row_number().over(Window.partitionBy(key).orderBy("latitude", "longitude", rows))
+    beside = F.struct(*[c for c in readings.columns if c not in ("latitude", "longitude")])
+    blocks = dealt.withColumn(part, F.floor((standing - 1) / READINGS_AT_ONCE)).groupBy(key, part, "latitude", "longitude")
+    return blocks.agg(F.collect_list(beside).alias(into)).select("latitude", "longitude", into)
+
+
 def register_radius_function(spark: SparkSession, view: str) -> None:
     """The session's table function ``readings_within_radius(lat, lng, metres)`` over a view of readings: their columns and ``distance``.
 

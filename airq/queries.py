@@ -533,17 +533,15 @@ def bucketed_link(spark, sf_dir):
 
 @query(f", points(point_id, lat, lng) AS (SELECT DISTINCT location_id, lat, lon FROM sensors WHERE lat IS NOT NULL) SELECT point_id, id FROM ({_FAR}) z WHERE metres <= 10000")
 def radius_function(spark, sf_dir):
-    """The radius join in SQL, by a table function that is called once for every place of a table; a place's stations are held in arrays of at most 1,000.
-
-    The readings are dealt evenly first, as each becomes as many rows as there are stations near it.
-    """
+    """The radius join in SQL, by a table function that is called once for every place of a table; a place's stations are held in arrays of at most 1,000, its readings in arrays too."""
     readings, points = f"readings_{uuid.uuid4().hex}", f"points_{uuid.uuid4().hex}"
-    _readings(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").createOrReplaceTempView(readings)
+    held = geo.held_by_place(_readings(spark, sf_dir).select("id", "latitude", "longitude"), int(spark.conf.get("spark.sql.shuffle.partitions")), "held")
+    held.select("latitude", "longitude", F.col("held.id").alias("ids")).createOrReplaceTempView(readings)
     view(spark, sf_dir, "sensors").where("lat is not null").select("location_id", "lat", "lon").distinct().createOrReplaceTempView(points)
     geo.register_radius_function(spark, readings)
-    return spark.sql(f"""SELECT explode(p.stations) AS point_id, r.id FROM (
+    return spark.sql(f"""SELECT point_id, explode(ids) AS id FROM (SELECT explode(p.stations) AS point_id, r.ids FROM (
         SELECT lat, lon, collect_list(location_id) AS stations FROM (SELECT *, (row_number() OVER (PARTITION BY lat, lon ORDER BY location_id) - 1) div 1000 AS part FROM {points})
-        GROUP BY lat, lon, part) p, LATERAL readings_within_radius(p.lat, p.lon, 10000D) r""")
+        GROUP BY lat, lon, part) p, LATERAL readings_within_radius(p.lat, p.lon, 10000D) r)""")
 
 
 @query("""SELECT id, concat_ws(',', CASE WHEN aqi_value IS NULL THEN 'aqi_value_missing' END, CASE WHEN aqi_value NOT BETWEEN 0 AND 1000 THEN 'aqi_range' END, CASE WHEN latitude NOT BETWEEN -90 AND 90 THEN 'latitude_range' END,

@@ -1,6 +1,7 @@
 """Landed files to tables: archive and pages, batch and stream, once and again."""
 
 import gzip
+import itertools
 import json
 from datetime import date, datetime
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from airq.functions import geo
 from airq.operators import quality, upsert
 from airq.plans import jobs
+from airq.queries import QUERIES
 from airq.sources import files, store, tables
 
 AS_OF = datetime(2024, 3, 2)
@@ -86,3 +88,21 @@ def test_radius_join_deals_readings_the_same_way_at_any_size(spark, monkeypatch)
     assert sorted(map(tuple, joined.select("point_id", "id", "distance").collect())) == sorted(map(tuple, plain.select("point_id", "id", "distance").collect()))
     steps = joined._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [knownfloatingpointnormalized(normalizenanandzero(latitude" in steps and "inline(held" in steps  # few points aren't broadcast, and stay together until then
+
+
+def test_readings_of_a_place_are_held_in_arrays(spark):
+    readings = spark.range(4000).select("id", F.when(F.col("id") < 3990, F.lit(28.6) + F.col("id") % 2 * 0.02).alias("latitude"), F.lit(77.2).alias("longitude"))
+    held = geo.held_by_place(readings, 1, "held")
+    rows = held.collect()
+    assert sorted((x.id, r.latitude) for r in rows for x in r.held) == sorted((r.id, r.latitude) for r in readings.collect())
+    assert max(len(r.held) for r in rows) == geo.READINGS_AT_ONCE  # of one place each
+    assert held._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+
+
+def test_a_station_stands_for_a_run_of_readings(spark):
+    """Pairs that a file holds in little: their number is the readings' by the stations', their order is by station within an array of readings."""
+    found = QUERIES["radius_function"](spark, "/root/testdata/sf0.01").select("point_id", "id", F.spark_partition_id().alias("part")).collect()
+    turns = sum((a.point_id, a.part) != (b.point_id, b.part) for a, b in itertools.pairwise(found))
+    assert turns < len(found) / 20
+    plain = QUERIES["radius_join"](spark, "/root/testdata/sf0.01").collect()
+    assert sorted((r.point_id, r.id) for r in found) == sorted((r.point_id, r.id) for r in plain)
