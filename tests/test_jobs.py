@@ -101,8 +101,17 @@ def test_readings_of_a_place_are_held_in_arrays(spark):
 
 def test_a_station_stands_for_a_run_of_readings(spark):
     """Pairs that a file holds in little: their number is the readings' by the stations', their order is by station within an array of readings."""
-    found = QUERIES["radius_function"](spark, "/root/testdata/sf0.01").select("point_id", "id", F.spark_partition_id().alias("part")).collect()
-    turns = sum((a.point_id, a.part) != (b.point_id, b.part) for a, b in itertools.pairwise(found))
-    assert turns < len(found) / 20
-    plain = QUERIES["radius_join"](spark, "/root/testdata/sf0.01").collect()
-    assert sorted((r.point_id, r.id) for r in found) == sorted((r.point_id, r.id) for r in plain)
+    pairs = []
+    for name in ("radius_function", "radius_join"):
+        found = QUERIES[name](spark, "/root/testdata/sf0.01").select("point_id", "id", F.spark_partition_id().alias("part")).collect()
+        assert sum((a.point_id, a.part) != (b.point_id, b.part) for a, b in itertools.pairwise(found)) < len(found) / 20
+        pairs.append(sorted((r.point_id, r.id) for r in found))
+    assert pairs[0] == pairs[1]
+
+
+def test_radius_join_keeps_columns_of_one_name(spark):
+    readings = spark.createDataFrame([(1, 28.6, 77.2, "r")], "id int, latitude double, longitude double, name string")
+    points = spark.createDataFrame([(7, 28.6, 77.2, "p")], "point_id int, lat double, lng double, name string")
+    joined = geo.radius_join(points, readings, 5000.0)
+    assert joined.columns == ["id", "latitude", "longitude", "name", "point_id", "name", "distance"]
+    assert [tuple(r) for r in joined.collect()] == [(1, 28.6, 77.2, "r", 7, "p", 0.0)]
